@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import held_names, table
 
 #: Words and chunks that a task remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 NEVER = np.iinfo(np.int64).max
 END = "</w>"
 
@@ -76,10 +76,14 @@ class Codec:
         self._tables(left, right, made)
         # a token that merging wouldn't make from its own letters is no guess
         self.guess = {t: k for t, k in self.vocab.items() if len(t.removesuffix(END)) == 1 or self._alone(k)}
-        self.longest = max(len(t.removesuffix(END)) for t in self.guess)
-        self.good: dict[int, bool] = {}
-        self.chunks: dict[str, tuple[str, str, int, list[int]]] = {}
-        self.known: dict[str, list[int]] = {}
+        #: The longest guess for each start of three letters.
+        self.reach: dict[str, int] = {}
+        for t in self.guess:
+            if (n := len(t.removesuffix(END))) >= 3:
+                self.reach[t[:3]] = max(n, self.reach.get(t[:3], 0))
+        #: For chunks and words: ids as text, tokens, number of tokens.
+        self.chunks: dict[str, tuple[str, str, int]] = {}
+        self.known: dict[str, tuple[str, str, int]] = {}
 
     def _tables(self, left: np.ndarray, right: np.ndarray, made: np.ndarray) -> None:
         keys = left * self.size + right
@@ -136,22 +140,35 @@ class Codec:
         return self._whole[token]
 
     def _greedy(self, word: str) -> list[int]:
-        out, at, guess = [], 0, self.guess
-        while at < len(word):
-            rest = len(word) - at
-            if rest <= self.longest and (k := guess.get(word[at:] + END)) is not None:
-                out.append(k)
-                break
-            for n in range(min(self.longest, rest - 1), 0, -1):
-                if (k := guess.get(word[at : at + n])) is not None:
+        out, at, size, guess, reach = [], 0, len(word), self.guess, self.reach
+        while at < size:
+            n = reach.get(word[at : at + 3], 2)
+            if at + n >= size:
+                if (k := guess.get(word[at:] + END)) is not None:
                     out.append(k)
-                    at += n
                     break
+                n = size - at - 1
+            while (k := guess.get(word[at : at + n])) is None:
+                n -= 1
+            out.append(k)
+            at += n
         return out
 
     def merge(self, word: str) -> list[int]:
         """Exact merging, lowest rank first, the left one of equal ranks."""
         part = [*word[:-1], word[-1] + END]
+        if len(part) <= 24:
+            rank = self.rank
+            have = [rank.get(x, NEVER) for x in zip(part, part[1:], strict=False)]
+            while have and (low := min(have)) < NEVER:
+                i = have.index(low)
+                part[i : i + 2] = [part[i] + part[i + 1]]
+                del have[i]
+                if i:
+                    have[i - 1] = rank.get((part[i - 1], part[i]), NEVER)
+                if i < len(have):
+                    have[i] = rank.get((part[i], part[i + 1]), NEVER)
+            return [self.vocab[x] for x in part]
         nxt, prev = [*range(1, len(part)), -1], [*range(-1, len(part) - 1)]
         heap = [(r, i, part[i], part[i + 1]) for i in range(len(part) - 1) if (r := self.rank.get((part[i], part[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -185,13 +202,17 @@ class Codec:
 
     def _learn(self, chunks: set[str]) -> None:
         """Remembers chunks: text without white space, normalised."""
-        table = [self.letters]
-        split = {c: ["".join(map(table[0].__getitem__, w.encode())) for w in self.words.findall(c)] for c in chunks}
+        letter = self.letters.__getitem__
+        split = {c: [w if w.isascii() and w.isprintable() else "".join(map(letter, w.encode())) for w in self.words.findall(c)] for c in chunks}
         new = list({w for ws in split.values() for w in ws} - self.known.keys())
-        self.known.update(zip(new, self.encode_words(new), strict=True))
+        for w, ids in zip(new, self.encode_words(new), strict=True):
+            self.known[w] = " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids)), len(ids)
         for c, ws in split.items():
-            ids = [k for w in ws for k in self.known[w]]
-            self.chunks[c] = " ".join(map(str, ids)), " ".join(self.tokens[k] for k in ids), len(ids), ids
+            if len(ws) == 1:
+                self.chunks[c] = self.known[ws[0]]
+            else:
+                own = [self.known[w] for w in ws]
+                self.chunks[c] = " ".join(x[0] for x in own), " ".join(x[1] for x in own), sum(x[2] for x in own)
 
     def _pieces(self, text: str) -> list[str]:
         """Normalised chunks of a text, special tokens as chunks of their own."""
@@ -213,14 +234,14 @@ class Codec:
             self.chunks.clear()
             self.known.clear()
         for s, k in self.special.items():
-            self.chunks[s] = str(k), s, 1, [k]
+            self.chunks[s] = str(k), s, 1
         out = [self._pieces(t) for t in texts]
         if new := set().union(*out) - self.chunks.keys():
             self._learn(new)
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[k for c in cs for k in self.chunks[c][3]] for cs in self.chunked(texts)]
+        return [[int(k) for c in cs for k in self.chunks[c][0].split()] for cs in self.chunked(texts)]
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so tokens are joined by one space."""
