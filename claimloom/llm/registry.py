@@ -1,10 +1,14 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
-from claimloom.llm import bpe, exact_dedup, mixing
+from claimloom.llm import bpe, chat, exact_dedup, mixing, quality, token_scan, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_bpe": bpe.op4_bpe,
+    "op5_quality": quality.op5_quality,
+    "op6_chat": chat.op6_chat,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_token_counts": token_scan.op10_token_counts,
 }
-SQL = {"op2_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
+SQL = {"op2_mixing": mixing.SQL, "op6_chat": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
