@@ -1,12 +1,13 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
-from claimloom.llm import bpe, chat, exact_dedup, mixing, quality, token_scan, toxicity
+from claimloom.llm import bpe, chat, exact_dedup, mixing, quality, rules, token_scan, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_bpe": bpe.op4_bpe,
     "op5_quality": quality.op5_quality,
     "op6_chat": chat.op6_chat,
+    "op7_rules": rules.op7_rules,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_token_counts": token_scan.op10_token_counts,
