@@ -1,8 +1,9 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
-from claimloom.llm import bpe, chat, exact_dedup, mixing, quality, rules, token_scan, toxicity
+from claimloom.llm import bpe, chat, exact_dedup, mixing, quality, rules, substring_dedup, token_scan, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op4_bpe": bpe.op4_bpe,
     "op5_quality": quality.op5_quality,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_token_counts": token_scan.op10_token_counts,
 }
-SQL = {"op2_mixing": mixing.SQL, "op6_chat": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_substring_dedup": substring_dedup.SQL, "op2_mixing": mixing.SQL, "op6_chat": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
