@@ -1,10 +1,11 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
-from claimloom.llm import bpe, chat, exact_dedup, mixing, quality, rules, substring_dedup, token_scan, toxicity
+from claimloom.llm import bpe, chat, exact_dedup, jaccard_join, mixing, quality, rules, substring_dedup, token_scan, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_bpe": bpe.op4_bpe,
     "op5_quality": quality.op5_quality,
     "op6_chat": chat.op6_chat,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_token_counts": token_scan.op10_token_counts,
 }
-SQL = {"op1_substring_dedup": substring_dedup.SQL, "op2_mixing": mixing.SQL, "op6_chat": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_substring_dedup": substring_dedup.SQL, "op3_jaccard_join": jaccard_join.SQL, "op2_mixing": mixing.SQL, "op6_chat": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
