@@ -1,29 +1,49 @@
-"""From documents to token counts: stages of the training-data pipeline."""
+"""From documents to token counts: stages of the training-data pipeline.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as
+Parquet and read again as the next one's docs. All but the last keep the columns
+of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, exact_dedup, mixing
-from claimloom.llm.common import stored, table
+from claimloom.llm import bpe, exact_dedup, jaccard_join, mixing, quality
+from claimloom.llm.common import crc_mod, stored, table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.drop_poor(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the largest doc_id."""
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies, the one with the smallest doc_id."""
+    return jaccard_join.drop_near_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them."""
     return mixing.repeat_documents(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of each document, as digests."""
     return bpe.digests(docs)
 
 
 STAGES = [
+    ("quality classifier", keep_good),
     ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
     ("mixing sources", mix_sources),
-    ("bpe encoding", encode_tokens),
+    ("BPE encoding", encode_tokens),
 ]
 #: The classifier's fit and the tokenizer are beyond SQL.
 ORACLE_SQL = None
