@@ -54,13 +54,14 @@ _SHAPES = (
 )
 
 
+_MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
 def _month(name: Column) -> Column:
     """1-12 for a month's name or its first three letters, else null."""
-    full = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-    out = F.lit(None).cast("int")
-    for k, m in enumerate(full, 1):
-        out = F.when((F.lower(name) == m) | (F.lower(name) == m[:3]), k).otherwise(out)
-    return out
+    known = F.array(*map(F.lit, (*_MONTH_NAMES, *(m[:3] for m in _MONTH_NAMES))))
+    at = F.array_position(known, F.lower(name)).cast("int")
+    return F.when(at > 0, (at - 1) % 12 + 1)
 
 
 def parse_claim_date(x: str | Column) -> Column:
@@ -75,11 +76,13 @@ def parse_claim_date(x: str | Column) -> Column:
     number = lambda p: F.when(p.rlike(r"^\d{1,4}$"), p.cast("int"))
     make = lambda y, m, d: F.to_date(F.try_make_timestamp(y, m, d, F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")))
     n1, n2, n3 = number(one), number(two), number(three)
-    loose = (
-        F.when(_month(two).isNotNull() & n1.isNotNull() & n3.isNotNull(), make(n3, _month(two), n1))
-        .when(_month(one).isNotNull() & n2.isNotNull() & n3.isNotNull(), make(n3, _month(one), n2))
-        .when(n1.isNotNull() & n2.isNotNull() & n3.isNotNull(), F.when(n1 > 1900, make(n1, n2, n3)).otherwise(make(n3, n2, n1)))
-    )
+    # year, month and day of the parts, whichever comes where
+    m1, m2 = _month(one), _month(two)
+    numeric = m1.isNull() & m2.isNull()
+    year = F.when(numeric & (n1 > 1900), n1).otherwise(n3)
+    month = F.coalesce(m2, m1, n2)
+    date = F.when(m2.isNull() & m1.isNotNull(), n2).when(numeric & (n1 > 1900), n3).otherwise(n1)
+    loose = make(year, month, date)
     out = loose
     for shape, form in reversed(_SHAPES):
         out = F.when(raw.rlike(shape), F.to_date(F.try_to_timestamp(raw, F.lit(form)))).otherwise(out)
