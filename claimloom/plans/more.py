@@ -526,9 +526,9 @@ def o84(s: SparkSession, d: str) -> DataFrame:
     return streams.live_tool_table(events_of(s, d))
 
 
-@query("o85_pair_tool_events", o.query([_EVENTS], "SELECT a.claim_id, a.iteration, a.tool_name, epoch_ms(b.ts) - epoch_ms(a.ts) AS elapsed_ms FROM ev a JOIN ev b ON a.claim_id = b.claim_id AND a.iteration = b.iteration AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR WHERE a.type = 'tool_start' AND b.type = 'tool_finish'"))
+@query("o85_pair_tool_events", o.query([_EVENTS], "SELECT a.claim_id, a.iteration, a.tool_name, epoch_us(b.ts) - epoch_us(a.ts) AS elapsed_us FROM ev a JOIN ev b ON a.claim_id = b.claim_id AND a.iteration = b.iteration AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR WHERE a.type = 'tool_start' AND b.type = 'tool_finish'"))
 def o85(s: SparkSession, d: str) -> DataFrame:
-    return streams.pair_tool_events(events_of(s, d), "6 hours").select("claim_id", "iteration", "tool_name", "elapsed_ms")
+    return streams.pair_tool_events(events_of(s, d), "6 hours").select("claim_id", "iteration", "tool_name", "elapsed_us")
 
 
 @query("o86_dedup_tool_log", o.query([_EVENTS], "SELECT DISTINCT claim_id, iteration FROM ev WHERE type = 'tool_finish'"))
@@ -536,9 +536,9 @@ def o86(s: SparkSession, d: str) -> DataFrame:
     return streams.dedup_tool_log(events_of(s, d)).select("claim_id", "iteration")
 
 
-@query("o87_run_end", o.query([_EVENTS], "SELECT claim_id, epoch_ms(min(ts)) AS started_ms, count(*) AS n_events, bool_or(type = 'complete') AS completed FROM (SELECT *, sum(new) OVER (PARTITION BY claim_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY claim_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ev)) GROUP BY claim_id, run"))
+@query("o87_run_end", o.query([_EVENTS], "SELECT claim_id, epoch_us(min(ts)) AS started_us, count(*) AS n_events, bool_or(type = 'complete') AS completed FROM (SELECT *, sum(new) OVER (PARTITION BY claim_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY claim_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ev)) GROUP BY claim_id, run"))
 def o87(s: SparkSession, d: str) -> DataFrame:
-    return streams.run_end(events_of(s, d), "6 hours").select("claim_id", F.unix_millis("started").alias("started_ms"), "n_events", "completed")
+    return streams.run_end(events_of(s, d), "6 hours").select("claim_id", F.unix_micros("started").alias("started_us"), "n_events", "completed")
 
 
 @query("o88_status_counts", o.query([_EVENTS], "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, type, count(*) AS n_events FROM ev GROUP BY ALL"))

@@ -74,8 +74,8 @@ _CONTEXT = ("policy_number", "policy_holder_name", "patient_name", "hospital_nam
 
 
 def _filled(f: str) -> str:
-    first = f"coalesce({t(f)}, first_value({t(f)} IGNORE NULLS) OVER w)"
-    return f"CASE WHEN {POLICY} THEN {t(f)} ELSE {first} END AS {f}" if f in ("bill_amount", "patient_name") else f"{first} AS {f}"
+    first = f"coalesce({t(f)}, first_value({t(f)} IGNORE NULLS) OVER w, {f})"
+    return f"CASE WHEN {POLICY} THEN {f} ELSE {first} END AS {f}" if f in ("bill_amount", "patient_name") else f"{first} AS {f}"
 
 
 FILLED = f"""filled AS MATERIALIZED (
@@ -93,7 +93,7 @@ VALIDATED = f"""validated AS (
   SELECT *, CASE WHEN known THEN list_concat(required_missing, list_filter(bad_dates, lambda x: x IS NOT NULL AND NOT list_contains(required_missing, x)), CASE WHEN bad_amount THEN ['bill_amount'] ELSE [] END) ELSE required_missing END AS missing_fields
   FROM (SELECT *, document_type IN ({', '.join(f"'{k}'" for k in lexicon.REQUIRED_FIELDS)}) AS known,
       CASE document_type {_RULES} ELSE ['recognized_document_type'] END AS required_missing,
-      [{', '.join(f"CASE WHEN {f} IS NOT NULL AND NOT {plausible(f)} THEN '{f}' END" for f in ('document_date', 'policy_start_date', 'policy_end_date'))}] AS bad_dates,
+      [{', '.join(f"CASE WHEN {t(f)} IS NOT NULL AND NOT {plausible(f)} THEN '{f}' END" for f in ('document_date', 'policy_start_date', 'policy_end_date'))}] AS bad_dates,
       bill_amount IS NOT NULL AND coalesce({amount('bill_amount', True)}, -1) < 0 AS bad_amount FROM filled))"""
 _MEDICAL = "document_type IN ('hospital_document', 'medical_bill', 'invoice', 'medical_report')"
 ROLLUP = f"""rollup AS (
