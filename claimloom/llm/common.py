@@ -20,6 +20,7 @@ _rng = np.random.default_rng(0x5EED)
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 GRAM = np.uint64(0xD6E8FEB86659FD93)
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bytes hashed at once; longer inputs are cut between words.
 PIECE = 1 << 21
 
@@ -37,14 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
-    Cuts the lineage: a lost executor costs no more than its own reads.
+    Cuts the lineage: a lost executor costs no more than its own reads. Python
+    tasks get batch_rows rows at a time, so that wide rows need little memory.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/claimloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, batch_rows)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -48,6 +48,8 @@ SLOTS = 1 << SLOT_BITS
 PART = 1 << 14
 #: Lists beyond about so many groups are dealt to several tasks.
 LIST = 1 << 16
+#: Pairs of sets that a task verifies at a time.
+PAIRS = 100
 #: Seeds of a set's two digests; the first is its node.
 ONE, TWO = 0x1F83D9AB, 0x5BE0CD19
 
@@ -68,14 +70,12 @@ def _slots(s: np.ndarray) -> np.ndarray:
 
 def shingle_ranks(docs: DataFrame) -> np.ndarray:
     """One byte for each slot: about 4 log2 of the shingles that hash to it."""
-    spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, dtype=np.uint32)
         for batch in batches:
-            sets = [_slots(s) for s in shingle_sets(as_bytes(batch["text"]))]
-            if sets:
-                at, n = np.unique(np.concatenate(sets), return_counts=True)
+            for s in shingle_sets(as_bytes(batch["text"])):
+                at, n = np.unique(_slots(s), return_counts=True)
                 total[at] += n.astype(np.uint32)
         squeeze = zstandard.ZstdCompressor(level=1)
         parts = [squeeze.compress(total[a : a + PART].tobytes()) for a in range(0, SLOTS, PART)]
@@ -91,7 +91,7 @@ def shingle_ranks(docs: DataFrame) -> np.ndarray:
 
     counted = docs.select("text").mapInArrow(count, "part int, counts binary")
     out = np.zeros(SLOTS, dtype=np.uint8)
-    for r in counted.groupBy("part").applyInPandas(add, "part int, ranks binary").collect():  # SLOTS bytes in all
+    for r in stored(counted.groupBy("part").applyInPandas(add, "part int, ranks binary"), "ranks").collect():  # SLOTS bytes in all
         out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["ranks"], dtype=np.uint8)
     return out
 
@@ -238,7 +238,7 @@ def link_classes(docs: DataFrame) -> DataFrame:
     members = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("group", "n", F.col("one").alias("node"), "two").agg(F.min("doc_id").alias("doc_id"))
     members = stored(members, "members")
     dealt = rows.filter("prefix IS NOT NULL").select("group", "n", "prefix").mapInArrow(_postings(ranks), f"deal long, split boolean, {_POSTING}")
-    lists = stored(dealt.repartition(partitions(spark), "deal").mapInArrow(_shared, _POSTING), "lists")
+    lists = stored(dealt.repartition(partitions(spark), "deal").mapInArrow(_shared, _POSTING), "lists", 10_000)
 
     # expanded: members in place of groups; a group of several is a list of its own
     several = members.groupBy("group").agg(F.count("*").alias("k")).filter("k > 1").select("group")
@@ -253,7 +253,7 @@ def link_classes(docs: DataFrame) -> DataFrame:
     wanted = stored(star.select("u").union(star.select("v")).distinct().select(F.col("u").alias("node")), "wanted")
     ids = members.select("doc_id", "node")
     sets = stored(_sets(docs, stored(ids.join(wanted, "node"), "wanted-ids")), "sets")
-    links = stored(_verified(star, sets), "links")
+    links = stored(_verified(star, sets), "links", PAIRS)
     roots = stored(components(links), "roots")
 
     # what is still open: pairs of one list in different classes
@@ -272,7 +272,7 @@ def link_classes(docs: DataFrame) -> DataFrame:
         more = stored(more.join(wanted, "node", "left_anti").join(ids, "node"), "more")
         if not more.isEmpty():
             sets = sets.union(stored(_sets(docs, more), "more-sets"))
-        links = links.union(stored(_verified(opened, sets), "more-links"))
+        links = links.union(stored(_verified(opened, sets), "more-links", PAIRS))
         roots = stored(components(links), "roots")
 
     known = members.join(roots, "node", "left").select("node", "two", "n", "doc_id", F.coalesce("root", "node").alias("root"))
