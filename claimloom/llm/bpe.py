@@ -188,6 +188,8 @@ class Codec:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Tokens of words in byte letters."""
+        if not words:
+            return []
         guesses = [self._greedy(w) for w in words]
         flat = np.array([k for g in guesses for k in g], dtype=np.int64)
         ends = np.cumsum([len(g) for g in guesses])
