@@ -48,6 +48,8 @@ SLOTS = 1 << SLOT_BITS
 PART = 1 << 14
 #: Lists beyond about so many groups are dealt to several tasks.
 LIST = 1 << 16
+#: Bits of the sieve of wanted documents.
+SIEVE = 1 << 25
 #: Pairs of sets that a task verifies at a time.
 PAIRS = 100
 #: Seeds of a set's two digests; the first is its node.
@@ -190,12 +192,35 @@ def _digest(s: np.ndarray, k: int) -> int:
     return int(mix64(s ^ np.uint64(k)).sum(dtype=np.uint64).astype(np.int64))
 
 
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of a doc_id: SIEVE bits, whatever the input."""
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << 16, dtype=bool)
+        bits[pdf["bit"].to_numpy()] = True
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))
+    found = ids.select(F.floor(at / (1 << 16)).cast("int").alias("part"), (at % (1 << 16)).cast("int").alias("bit")).distinct()
+    out = np.zeros(SIEVE // 8, dtype=np.uint8)
+    for r in stored(found.groupBy("part").applyInPandas(fill, "part int, bits binary"), "sieve").collect():
+        out[r["part"] << 13 : (r["part"] + 1) << 13] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, set (its sorted hashes) of the wanted (doc_id, node)."""
+    """node, set (its sorted hashes) of the wanted (doc_id, node).
+
+    Texts that a sieve of fixed size shows to be unwanted aren't shuffled; the
+    join drops the rest.
+    """
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted))  # SIEVE bits
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            at = np.asarray(batch["bit"])
+            batch = batch.filter(pa.array((sieve.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([squeeze.compress(t) for t in as_bytes(batch["text"])], pa.binary())], names=["doc_id", "packed"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +230,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = [(k, s.tobytes()) for k, s in zip(batch["node"].to_pylist(), own, strict=True) if _digest(s, ONE) == k]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], names=["node", "set"])
 
-    texts = docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, packed binary")
-    return texts.join(wanted, "doc_id").mapInArrow(unpack, "node long, set binary")
+    known = docs.filter("doc_id IS NOT NULL").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("bit"), "text")
+    texts = known.mapInArrow(pack, "doc_id long, packed binary").join(wanted, "doc_id")
+    # stored in between: no stage then keeps two Python workers for a task
+    return stored(texts, "wanted-texts").mapInArrow(unpack, "node long, set binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
