@@ -10,31 +10,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimloom.llm import bpe, exact_dedup, jaccard_join, mixing, quality
-from claimloom.llm.common import crc_mod, stored, table
+from claimloom.llm.common import BATCH, crc_mod, stored, table
+
+#: Rows that Python tasks of the pipeline get at a time: texts can be long.
+ROWS = "1000"
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
+    spark.conf.set(BATCH, ROWS)
     return quality.drop_poor(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the one with the largest doc_id."""
+    spark.conf.set(BATCH, ROWS)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies, the one with the smallest doc_id."""
+    spark.conf.set(BATCH, ROWS)
     return jaccard_join.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target takes them."""
+    spark.conf.set(BATCH, ROWS)
     return mixing.repeat_documents(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of each document, as digests."""
+    spark.conf.set(BATCH, ROWS)
     return bpe.digests(docs)
 
 
