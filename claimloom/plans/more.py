@@ -78,6 +78,24 @@ def fetched(label: str, pattern: str) -> str:
     return f"nullif(regexp_extract(text, '{label}{pattern}', 1), '')"
 
 
+#: Banners ahead of the page's text, by page; every seventh page has none, every eleventh no text.
+BANNERS_SQL = """CASE WHEN page_seq % 11 = 10 THEN ' ' WHEN page_seq % 7 = 0 THEN text WHEN page_seq % 7 = 1 THEN 'DOCUMENT 4: inpatient RECORD — ward 2 -' || chr(10) || 'Ref: 4' || chr(10) || text
+  WHEN page_seq % 7 = 2 THEN 'SECTION B (cover): benefits and' || chr(10) || '  limits of COVER' || chr(10) || text WHEN page_seq % 7 = 3 THEN 'CLAIM FORM - part of the' || chr(10) || 'Note: none' || chr(10) || text
+  WHEN page_seq % 7 = 4 THEN '====' || chr(10) || 'Bank account proof' WHEN page_seq % 7 = 5 THEN 'Sonography and pharmacy exclusions' || chr(10) || text ELSE '====' || chr(10) || ' Note ' || claim_id END"""
+_TITLES_SQL = f"""SELECT claim_id, page_seq, CASE WHEN trim(t) = '' THEN 'Unreadable Document' WHEN t LIKE 'DOCUMENT 4%' THEN 'Inpatient Record - Ward 2' WHEN t LIKE 'SECTION B%' THEN 'Benefits And Limits Of Cover' WHEN t LIKE 'CLAIM FORM%' THEN 'Part Of The'
+  WHEN ty = 'insurance_policy' THEN CASE WHEN l LIKE '%exclusions%' THEN 'Policy General Exclusions' WHEN l LIKE '%policy schedule%' THEN 'Policy Schedule & Certificate' ELSE 'Insurance Policy Schedule' END
+  WHEN ty = 'medical_bill' THEN CASE WHEN l LIKE '%pharmacy%' THEN 'Hospital Pharmacy Tax Invoice' WHEN l LIKE '%room rent%' THEN 'Hospital Medical Bill & Room Rent Folio' ELSE 'Hospital Medical Bill' END
+  WHEN ty = 'medical_report' THEN CASE WHEN regexp_matches(l, 'scan|ultrasound|radiology|x-ray|mri|ct|sonography') THEN 'Diagnostic Ultrasound Scan Report' WHEN regexp_matches(l, 'pathology|blood|hematology|cbc') THEN 'Medical Diagnostic Pathology Report' ELSE 'Medical Diagnostic Report' END
+  WHEN ty = 'incident_document' THEN 'Police First Information Report (FIR)' WHEN l LIKE '%discharge summary%' THEN 'Hospital Discharge Summary' WHEN l LIKE '%bank account%' THEN 'Reimbursement Bank Account Proof'
+  ELSE trim(regexp_extract(t, '(?:^|' || chr(10) || ') *([^=' || chr(10) || '][^' || chr(10) || ']*)', 1)) END || ' (Page ' || page_number || ')' AS document_title
+  FROM (SELECT *, lower(t) AS l FROM (SELECT claim_id, page_seq, page_number, CASE file_seq WHEN 0 THEN 'insurance_policy' ELSE document_type END AS ty, {BANNERS_SQL} AS t FROM page_text))"""
+
+
+@query("o30_page_titles", o.query([o.PAGES, _TEXT], _TITLES_SQL))
+def o30(s: SparkSession, d: str) -> DataFrame:
+    return fields_of(s, d, lambda df: df.withColumn("text", F.expr(BANNERS_SQL)), extract.page_titles).select("claim_id", "page_seq", "document_title")
+
+
 @query("o31_insurer", o.query([o.PAGES, _TEXT], f"SELECT claim_id, page_seq, {fetched('Insurer: ', '([A-Za-z ]+)')} AS insurer_name FROM page_text"))
 def o31(s: SparkSession, d: str) -> DataFrame:
     return fields_of(s, d, extract.insurer).select("claim_id", "page_seq", "insurer_name")
