@@ -197,3 +197,21 @@ def test_pipeline_stages_keep_the_columns(spark, docs, tmp_path):
     # brute force of the middle stages: copies 1 and 2, their near copies 3 and 13, and "one two" in capitals
     ids = {r["doc_id"] for r in out}
     assert len(ids & {1, 2, 3, 13}) <= 1 and len(ids & {8, 9}) <= 1
+
+
+def prose_and_junk():
+    """Prose, and from doc_id 300 on prose with every 16th word random letters."""
+    rng = random.Random(5)
+    vocab = ["".join(rng.choices(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"], k=rng.randint(1, 4))) for _ in range(300)]
+    say = lambda: rng.choices(vocab, k=rng.randint(60, 200))
+    good = [" ".join(say()) for _ in range(300)]
+    noise = lambda: "".join(rng.choices("bcdfghjklmnpqrstuvwxyz", k=6))
+    junk = [" ".join(noise() if k % 16 == 0 else w for k, w in enumerate(say())) for _ in range(20)]
+    return [(k, t, "en") for k, t in enumerate(good + junk)]
+
+
+def test_rules_reject_junk_that_passes_the_base_rules(spark):
+    got = rules.judge(spark.createDataFrame(prose_and_junk(), "doc_id long, text string, lang string")).collect()
+    assert not any(r["base_failed"] for r in got)
+    assert not any(r["kept"] for r in got if r["doc_id"] >= 300)
+    assert sum(r["kept"] for r in got if r["doc_id"] < 300) >= 290
