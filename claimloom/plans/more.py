@@ -41,6 +41,11 @@ def o03(s: SparkSession, d: str) -> DataFrame:
     return ingest.read_pages(page_text(s, d), max_pages=5).select("claim_id", "page_seq", "needs_transcription")
 
 
+@query("o03_all_pages", o.query([o.PAGES, _TEXT], "SELECT claim_id, page_seq, length(trim(text)) < 20 AS needs_transcription FROM page_text"))
+def o03_all(s: SparkSession, d: str) -> DataFrame:
+    return ingest.read_pages(page_text(s, d)).select("claim_id", "page_seq", "needs_transcription")
+
+
 @query("o04_document_text", o.query([o.PAGES, _TEXT], "SELECT claim_id, file_seq, md5(string_agg(text, ' ' ORDER BY page_number)) AS text_md5, length(trim(string_agg(text, ' ' ORDER BY page_number))) >= 30 AS readable FROM page_text WHERE page_number <= 5 GROUP BY ALL"))
 def o04(s: SparkSession, d: str) -> DataFrame:
     return ingest.document_text(page_text(s, d)).select("claim_id", "file_seq", F.md5("text").alias("text_md5"), "readable")
