@@ -1,11 +1,19 @@
 """Quality rules: base rules and n-gram perplexity.
 
-The language model is an interpolated modified Kneser-Ney model of order 4 over
-64 byte classes (case folded; bytes of other scripts by their low bits). A 4-gram
-is a 24-bit hash, unique to it, so Spark counts every 4-gram of every document
-and the model has at most 2^24 entries whatever the corpus: that bounds what is
-collected and broadcast. It is stored as sorted hash arrays with a log
-probability for each 4-gram and each lower order.
+The language model is an interpolated modified Kneser-Ney model of order DEPTH over
+whole bytes, 0 standing before a text. Nothing is folded or hashed: a gram is its
+own key, and the model grows with the grams that the corpus holds.
+
+1. Documents are dealt to chunks of about CHUNK bytes. The distinct grams of a
+   chunk and their counts are packed as sorted arrays, one for each shard of grams.
+2. Shards add up the counts. Continuation counts, totals of contexts and lower
+   orders come from them by grouped aggregation and joins.
+3. A shard holds its grams and log probabilities as sorted arrays and answers the
+   chunks' arrays; a chunk gets its answers back and scores its texts. No task and
+   no driver holds the model.
+
+A document is part of what the model is fitted on, so each gram is scored as if one
+occurrence of it weren't there: what occurs once counts as unseen.
 
 A document passes if its log perplexity is within the band of its language:
 quartiles of the documents of that language that pass the base rules, widened by
@@ -22,15 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import BLANK, doc_word_hashes, grams, held_names, stored, table
+from claimloom.llm.common import BLANK, as_bytes, doc_word_hashes, grams, held_names, partitions, stored, table
 
+#: Bytes of a gram of the operator's model.
+DEPTH = 5
+#: Bytes of text that share their grams.
+CHUNK = 1 << 23
+#: kneser_ney and Model below: a model of few classes that one process holds; the operator doesn't use it.
 ORDER = 4
 BITS = 6
 #: Chosen on labelled rows; the README has what other factors reject.
-WIDE = 2.5
+WIDE = 2.0
 MIN_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\v\f\r"
@@ -71,37 +86,14 @@ def hashes(text: bytes) -> np.ndarray:
     return out
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """gram, n over all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << (ORDER * BITS), dtype=np.int32)  # 64 MB, whatever the input
-        seen = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            at = np.flatnonzero(counts)
-            for a in range(0, len(at), 100_000):
-                part = at[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int64))], names=["gram", "n"])
-            counts[:] = 0
-
-        for batch in batches:
-            for text in batch["text"].to_pylist():
-                if text:
-                    keys, n = np.unique(hashes(text.encode()), return_counts=True)
-                    counts[keys] += n.astype(np.int32)
-                    seen += len(text)
-            if seen > 1 << 29:
-                yield from out()
-                seen = 0
-        yield from out()
-
-    return docs.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def _discounts(n: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney discounts for counts of 0, 1, 2 and 3 or more."""
-    c = [max(1, int((n == k).sum())) for k in range(1, 5)]
+    return _discounts_of([int((n == k).sum()) for k in range(1, 5)])
+
+
+def _discounts_of(c: list[int]) -> np.ndarray:
+    """The same from how many grams occur once to four times."""
+    c = [max(1, x) for x in c]
     y = c[0] / (c[0] + 2 * c[1])
     d = [0.0] + [k - (k + 1) * y * c[k] / c[k - 1] for k in (1, 2, 3)]
     return np.clip(np.array(d), [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.85])
@@ -161,11 +153,133 @@ class Model:
         return float(-self.top[hashes(text)].mean(dtype=np.float64)) if text else 0.0
 
 
-def fit(docs: DataFrame) -> Model:
-    found = count_grams(docs).toPandas()  # at most 2^24 rows
-    if not len(found):
-        return Model([])
-    return Model(kneser_ney(found["gram"].to_numpy(), found["n"].to_numpy()))
+def byte_grams(text: bytes) -> np.ndarray:
+    """The gram that ends at each byte."""
+    codes = np.concatenate([np.zeros(DEPTH - 1, dtype=np.int64), np.frombuffer(text, dtype=np.uint8).astype(np.int64)])
+    out = np.zeros(len(text), dtype=np.int64)
+    for k in range(DEPTH):
+        out = (out << 8) | codes[k : k + len(text)]
+    return out
+
+
+def in_chunks(docs: DataFrame) -> DataFrame:
+    """docs with the number of a chunk of about CHUNK bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            own = []
+            for text in as_bytes(batch["text"]):
+                if size > CHUNK:
+                    chunk, size = chunk + 1, 0
+                size += len(text)
+                own.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=["doc_id", "lang", "text", "chunk"])
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(run, "doc_id long, lang string, text string, chunk long")
+
+
+def packed_grams(chunks: DataFrame, shards: int) -> DataFrame:
+    """shard, chunk, and the sorted distinct grams and their counts as arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+
+        def out(chunk: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            shard = keys % shards
+            order = np.argsort(shard, kind="stable")
+            ends = np.searchsorted(shard[order], np.arange(shards + 1))
+            found = [(s, order[a:b]) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+            packed = [pa.array([squeeze.compress(f(x[at]).tobytes()) for _, at in found], pa.binary()) for f, x in ((_steps, keys), (np.asarray, n))]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([chunk] * len(found), pa.int64()), *packed], names=["shard", "chunk", "grams", "counts"])
+
+        now, held = None, []
+        for batch in batches:
+            for chunk, text in zip(batch["chunk"].to_pylist(), as_bytes(batch["text"]), strict=True):
+                if chunk != now and held:
+                    yield from out(now, held)
+                    held = []
+                now = chunk
+                if text:
+                    held.append(byte_grams(text))
+        if held:
+            yield from out(now, held)
+
+    return chunks.select("chunk", "text").mapInArrow(run, "shard long, chunk long, grams binary, counts binary")
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences, which pack well."""
+    return np.diff(keys, prepend=0)
+
+
+def _loose(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    loosen = zstandard.ZstdDecompressor()
+    return [np.frombuffer(loosen.decompress(x), dtype=kind) for x in column.to_pylist()]
+
+
+def count_grams(packed: DataFrame) -> DataFrame:
+    """gram, n over all documents."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.cumsum(x) for x in _loose(rows["grams"], np.int64)])
+        out, at = np.unique(keys, return_inverse=True)
+        n = np.bincount(at.ravel(), weights=np.concatenate(_loose(rows["counts"], np.int64)))
+        return pa.table({"gram": out, "n": n.astype(np.int64)})
+
+    return packed.select("shard", "grams", "counts").groupBy("shard").applyInArrow(add, "gram long, n long")
+
+
+def _interpolated(level: DataFrame, lower: DataFrame | None, order: int) -> DataFrame:
+    """gram, p, and p_less: p if the gram occurred once less."""
+    found = {r["n"]: r["k"] for r in level.filter("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
+    d = [float(x) for x in _discounts_of([found.get(k, 0) for k in range(1, 5)])]
+    cut = lambda n: F.when(n >= 3, d[3]).when(n == 2, d[2]).when(n == 1, d[1]).otherwise(0.0)
+    n = F.col("n")
+    level = level.withColumn("context", F.shiftright("gram", 8))
+    totals = level.groupBy("context").agg(F.sum("n").alias("total"), F.sum(cut(n)).alias("rest"))
+    level = level.join(totals, "context")
+    if lower is None:
+        level = level.withColumn("low", F.lit(1 / 256)).withColumn("low_less", F.lit(1 / 256))
+    else:
+        lower = lower.select(F.col("gram").alias("end"), F.col("p").alias("low"), F.col("p_less").alias("low_less"))
+        level = level.withColumn("end", F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))).join(lower, "end")
+    p = (n - cut(n) + F.col("rest") * F.col("low")) / F.col("total")
+    # the lower order loses a context only where the gram itself goes
+    low = F.when(n == 1, F.col("low_less")).otherwise(F.col("low"))
+    rest = F.col("rest") - cut(n) + cut(n - 1)
+    less = F.when(F.col("total") > 1, (n - 1 - cut(n - 1) + rest * low) / (F.col("total") - 1)).otherwise(low)
+    return level.select("gram", p.alias("p"), less.alias("p_less"))
+
+
+def fit(counts: DataFrame) -> DataFrame:
+    """gram, log_p: each gram scored as if it occurred once less."""
+    levels = [counts]
+    for order in range(DEPTH - 1, 0, -1):
+        # lower orders count in how many contexts a gram occurs
+        end = levels[0].select(F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram"))
+        levels.insert(0, stored(end.groupBy("gram").agg(F.count("*").alias("n")), f"grams-{order}"))
+    lower = None
+    for order, level in enumerate(levels, 1):
+        lower = stored(_interpolated(level, lower, order), f"model-{order}")
+    return lower.select("gram", F.log("p_less").alias("log_p"))
+
+
+def answers(packed: DataFrame, model: DataFrame, shards: int) -> DataFrame:
+    """chunk, its grams, and their log probabilities as arrays."""
+
+    def look_up(shard: pa.Table, rows: pa.Table) -> pa.Table:
+        keys, log_p = shard["gram"].to_numpy(), shard["log_p"].to_numpy().astype(np.float32)
+        order = np.argsort(keys)
+        keys, log_p = keys[order], log_p[order]
+        logs = [log_p[np.searchsorted(keys, np.cumsum(x))].tobytes() for x in _loose(rows["grams"], np.int64)]
+        return pa.table({"chunk": rows["chunk"], "grams": rows["grams"], "logs": pa.array(logs, pa.binary())})
+
+    model = model.withColumn("shard", F.expr(f"pmod(gram, {shards}L)"))
+    asked = packed.select("shard", "chunk", "grams").groupBy("shard")
+    return model.groupBy("shard").cogroup(asked).applyInArrow(look_up, "chunk long, grams binary, logs binary")
 
 
 def base_counts(text: str, h: np.ndarray) -> tuple[int, int, int, int, int]:
@@ -192,27 +306,32 @@ def base_counts(text: str, h: np.ndarray) -> tuple[int, int, int, int, int]:
 _MEASURES = "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
-def measure(docs: DataFrame, model: Model) -> DataFrame:
+def measure(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts and log_perplexity of each row."""
     held_names(docs, "doc_id", "text", "lang")
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^24 entries
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            raw = [t.encode() for t in texts]
-            rows = [base_counts(t, h) for t, h in zip(texts, doc_word_hashes(raw), strict=True)]
-            logs = [sent.value.log_perplexity(t) for t in raw]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(_MEASURES)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], *(pa.array(c, pa.int64()) for c in columns), pa.array(logs, pa.float64())], names=["doc_id", "lang", *_MEASURES, "log_perplexity"])
+    shards = partitions(docs.sparkSession) | 1
+    chunks = stored(in_chunks(docs), "chunks")
+    packed = stored(packed_grams(chunks, shards), "packed-grams")
+    model = fit(stored(count_grams(packed), f"grams-{DEPTH}"))
+
+    def score(rows: pa.Table, found: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.empty(0, np.int64), *map(np.cumsum, _loose(found["grams"], np.int64))])
+        log_p = np.concatenate([np.empty(0, np.float32), *(np.frombuffer(x, np.float32) for x in found["logs"].to_pylist())])
+        order = np.argsort(keys)
+        keys, log_p = keys[order], log_p[order]
+        raw = as_bytes(rows["text"])
+        logs = [float(-log_p[np.searchsorted(keys, byte_grams(t))].mean(dtype=np.float64)) if t else 0.0 for t in raw]
+        counts = [base_counts(t.decode(), h) for t, h in zip(raw, doc_word_hashes(raw), strict=True)]
+        columns = list(zip(*counts, strict=True)) or [[]] * len(_MEASURES)
+        return pa.Table.from_arrays([rows["doc_id"], rows["lang"], *(pa.array(c, pa.int64()) for c in columns), pa.array(logs, pa.float64())], names=["doc_id", "lang", *_MEASURES, "log_perplexity"])
 
     shape = "doc_id long, lang string, " + ", ".join(f"{x} long" for x in _MEASURES) + ", log_perplexity double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, shape)
+    return chunks.groupBy("chunk").cogroup(answers(packed, model, shards).groupBy("chunk")).applyInArrow(score, shape)
 
 
 def judge(docs: DataFrame, wide: float = WIDE) -> DataFrame:
     """The base counts, base_failed, log_perplexity, its band, and kept."""
-    rows = stored(measure(docs, fit(docs)), "rules")
+    rows = stored(measure(docs), "rules")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     at = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10_000)

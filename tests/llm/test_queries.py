@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -215,3 +216,48 @@ def test_rules_reject_junk_that_passes_the_base_rules(spark):
     assert not any(r["base_failed"] for r in got)
     assert not any(r["kept"] for r in got if r["doc_id"] >= 300)
     assert sum(r["kept"] for r in got if r["doc_id"] < 300) >= 290
+
+
+def without_one(texts, depth):
+    """Mean log probability of each text's grams, each scored as if it occurred once less."""
+    levels = [Counter()]
+    own = [[(bytes(depth - 1) + t.encode())[k : k + depth] for k in range(len(t.encode()))] for t in texts]
+    for x in own:
+        levels[0].update(x)
+    while len(levels) < depth:
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+    discounts = []
+    for level in levels:
+        c = [max(1, sum(n == k for n in level.values())) for k in range(1, 5)]
+        y = c[0] / (c[0] + 2 * c[1])
+        top = [0, 0.95, 1.9, 2.85]
+        discounts.append([0.0] + [min(max(k - (k + 1) * y * c[k] / c[k - 1], 0.05), top[k]) for k in (1, 2, 3)])
+
+    def p(g, less):
+        if not g:
+            return 1 / 256
+        level, d = levels[len(g) - 1], discounts[len(g) - 1]
+        found = [n - (less and h == g) for h, n in level.items() if h[:-1] == g[:-1]]
+        now, total = level[g] - less, sum(found)
+        low = p(g[1:], less and level[g] == 1)
+        cut = lambda n: d[min(n, 3)]
+        return low if not total else (now - cut(now) + sum(map(cut, found)) * low) / total
+
+    return [-sum(math.log(p(g, True)) for g in x) / len(x) if x else 0.0 for x in own]
+
+
+def test_perplexity_equals_brute_force(spark):
+    texts = ["the cat sat on the mat", "The cat; the hat", "the#cat$sat", "the$cat#sat", "é and É", "", "the cat sat on the mat", "zzzzzz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang").repartition(3)
+    got = {r["doc_id"]: r["log_perplexity"] for r in rules.measure(docs).collect()}
+    want = without_one(texts, rules.DEPTH)
+    assert all(abs(got[k] - want[k]) < 1e-5 for k in range(len(texts)))
+
+
+def test_symbols_and_case_have_grams_of_their_own(spark):
+    def found(*texts):
+        docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+        return {r["gram"]: r["n"] for r in rules.count_grams(rules.packed_grams(rules.in_chunks(docs), 5)).collect()}
+
+    assert len(found("a # b", "A # b", "a $ b", "é", "É", "a # b")) == len({g for t in ("a # b", "A # b", "a $ b", "é", "É") for g in rules.byte_grams(t.encode()).tolist()})
+    assert len(found("#####")) == 5 and len(found("#####", "$$$$$")) == 10
