@@ -103,7 +103,7 @@ def _prefix_size(n: int) -> int:
 
 
 def prefixes(docs: DataFrame, ranks) -> DataFrame:
-    """doc_id, n, group, two set digests, and the prefix in the global order.
+    """doc_id, a hash of the text, n, group, two set digests, and the prefix in the global order.
 
     Of the copies in a task one has the prefix.
     """
@@ -129,9 +129,9 @@ def prefixes(docs: DataFrame, ranks) -> DataFrame:
                 rows.append((len(s), int(group), one, two, None if known else first.tobytes()))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n", "group", "one", "two", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "mark", "n", "group", "one", "two", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, group long, one long, two long, prefix binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n int, group long, one long, two long, prefix binary")
 
 
 def _postings(ranks):
@@ -253,8 +253,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(v, "v").join(u, "u").select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long")
 
 
-def link_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row."""
+def _classed(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, one, n, component_id of each row, and the lead: the set that stands for its class."""
     held_names(docs, "doc_id", "text")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -304,17 +304,31 @@ def link_classes(docs: DataFrame) -> DataFrame:
 
     known = members.join(roots, "node", "left").select("node", "two", "n", "doc_id", F.coalesce("root", "node").alias("root"))
     known = stored(known, "classes")
-    least = stored(known.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    known = stored(known.join(least, "root").select(F.col("node").alias("one"), "two", "n", "component_id"), "known")
-    out = rows.select("doc_id", "n", "one", "two").join(known, ["one", "two", "n"], "left")
+    first = F.min(F.struct("doc_id", "node"))
+    least = stored(known.groupBy("root").agg(first["doc_id"].alias("component_id"), first["node"].alias("lead")), "least")
+    known = stored(known.join(least, "root").select(F.col("node").alias("one"), "two", "n", "component_id", "lead"), "known")
+    out = rows.select("doc_id", "mark", "n", "one", "two").join(known, ["one", "two", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", "mark", "one", F.col("n").cast("long").alias("n"), component.alias("component_id"), "lead")
+
+
+def link_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row."""
+    return _classed(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id; all columns."""
-    gone = link_classes(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(stored(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class, the one with the smallest doc_id; all columns.
+
+    Rows go by doc_id and text: a row that repeats a doc_id with another text has
+    a class of its own. Equal rows stay or go together.
+    """
+    rows = stored(_classed(docs).filter("doc_id IS NOT NULL AND lead IS NOT NULL").select("doc_id", "mark", "one", ((F.col("component_id") == F.col("doc_id")) & (F.col("lead") == F.col("one"))).alias("stays")).distinct(), "rows")
+    # texts of one doc_id with equal sets: one of them stays
+    stay = rows.filter("stays").groupBy("doc_id", "one").agg(F.min("mark").alias("mark")).select("doc_id", "mark")
+    gone = stored(rows.select("doc_id", "mark").join(stay, ["doc_id", "mark"], "left_anti").distinct(), "near-copies")
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
+    return docs.join(gone.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), same, "left_anti").select(*docs.columns)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,3 +261,15 @@ def test_symbols_and_case_have_grams_of_their_own(spark):
 
     assert len(found("a # b", "A # b", "a $ b", "é", "É", "a # b")) == len({g for t in ("a # b", "A # b", "a $ b", "é", "É") for g in rules.byte_grams(t.encode()).tolist()})
     assert len(found("#####")) == 5 and len(found("#####", "$$$$$")) == 10
+
+
+def test_near_copies_go_by_doc_id_and_text(spark):
+    rng = random.Random(3)
+    say = lambda: [f"w{rng.randint(0, 9999)}" for _ in range(100)]
+    a, b = say(), say()
+    near = lambda x: " ".join([*x[:-1], "other"])
+    a2, b2, a, b = near(a), near(b), " ".join(a), " ".join(b)
+    run = lambda *rows: sorted((tuple(r) for r in jaccard_join.drop_near_copies(spark.createDataFrame(list(rows), "doc_id long, text string")).collect()), key=str)
+    assert run((5, a), (9, a2), (5, b2), (2, b), (7, ""), (None, a)) == sorted([(5, a), (2, b), (7, ""), (None, a)], key=str)
+    assert run((5, a), (5, a2), (5, b)) in (sorted([(5, a), (5, b)], key=str), sorted([(5, a2), (5, b)], key=str))
+    assert len(run((5, a), (5, a.upper()), (6, a))) == 1
