@@ -23,6 +23,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.common import held_names, table
 
-#: Words and chunks that a task remembers before it starts afresh.
-REMEMBERED = 600_000
+#: Bytes, near enough, of the words (and of the chunks) of one generation that a task remembers.
+REMEMBERED = 3 << 24
 NEVER = np.iinfo(np.int64).max
 END = "</w>"
 
@@ -51,6 +52,34 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class Recent:
+    """The ids of strings, of two generations: the older one goes as a whole."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.size = 0
+
+    def put(self, key: str, ids: tuple[int, ...]) -> None:
+        self.new[key] = ids
+        self.size += 200 + len(key) + 8 * len(ids)
+
+    def unknown(self, keys: set[str]) -> list[str]:
+        """Keys of neither generation; those of the older one come over."""
+        out = []
+        for k in keys - self.new.keys():
+            ids = self.old.get(k)
+            if ids is None:
+                out.append(k)
+            else:
+                self.put(k, ids)
+        return out
+
+    def turn(self) -> None:
+        if self.size > REMEMBERED:
+            self.old, self.new, self.size = self.new, {}, 0
+
+
 class Codec:
     """Reads a tokenizer file with word ends; lower case, white space dropped."""
 
@@ -58,6 +87,11 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        plain = all(not model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        if model["type"] != "BPE" or model["end_of_word_suffix"] != END or not plain or steps != ["NFC", "Replace", "Lowercase"] or cuts != ["Split", "ByteLevel"] or spec["decoder"] or spec["post_processor"]:
+            raise ValueError(f"{path}: not a tokenizer of the kind that this codec follows")
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.size = 1 + max([*self.vocab.values(), *self.special.values()])
@@ -81,9 +115,8 @@ class Codec:
         for t in self.guess:
             if (n := len(t.removesuffix(END))) >= 3:
                 self.reach[t[:3]] = max(n, self.reach.get(t[:3], 0))
-        #: For chunks and words: ids as text, tokens, number of tokens.
-        self.chunks: dict[str, tuple[str, str, int]] = {}
-        self.known: dict[str, tuple[str, str, int]] = {}
+        self.numbers = [str(k) for k in range(self.size)]
+        self.chunks, self.known = Recent(), Recent()
 
     def _tables(self, left: np.ndarray, right: np.ndarray, made: np.ndarray) -> None:
         keys = left * self.size + right
@@ -202,19 +235,16 @@ class Codec:
             guesses[w] = self.merge(words[w])
         return guesses
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
         """Remembers chunks: text without white space, normalised."""
         letter = self.letters.__getitem__
         split = {c: [w if w.isascii() and w.isprintable() else "".join(map(letter, w.encode())) for w in self.words.findall(c)] for c in chunks}
-        new = list({w for ws in split.values() for w in ws} - self.known.keys())
+        new = self.known.unknown({w for ws in split.values() for w in ws})
         for w, ids in zip(new, self.encode_words(new), strict=True):
-            self.known[w] = " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids)), len(ids)
+            self.known.put(w, tuple(ids))
+        known = self.known.new
         for c, ws in split.items():
-            if len(ws) == 1:
-                self.chunks[c] = self.known[ws[0]]
-            else:
-                own = [self.known[w] for w in ws]
-                self.chunks[c] = " ".join(x[0] for x in own), " ".join(x[1] for x in own), sum(x[2] for x in own)
+            self.chunks.put(c, known[ws[0]] if len(ws) == 1 else tuple(k for w in ws for k in known[w]))
 
     def _pieces(self, text: str) -> list[str]:
         """Normalised chunks of a text, special tokens as chunks of their own."""
@@ -230,20 +260,17 @@ class Codec:
         text = text.lower()
         return [x for x in regex.split(r"\s+", text) if x] if regex.search("[\x1c-\x1f]", text) else text.split()
 
-    def chunked(self, texts: list[str]) -> list[list[str]]:
-        """Each text's chunks, all of them remembered."""
-        if len(self.chunks) > REMEMBERED or len(self.known) > REMEMBERED:
-            self.chunks.clear()
-            self.known.clear()
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        self.chunks.turn()
+        self.known.turn()
         for s, k in self.special.items():
-            self.chunks[s] = str(k), s, 1
-        out = [self._pieces(t) for t in texts]
-        if new := set().union(*out) - self.chunks.keys():
+            if s not in self.chunks.new:
+                self.chunks.put(s, (k,))
+        pieces = [self._pieces(t) for t in texts]
+        if new := self.chunks.unknown(set().union(*pieces)):
             self._learn(new)
-        return out
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[int(k) for c in cs for k in self.chunks[c][0].split()] for cs in self.chunked(texts)]
+        ids = self.chunks.new.__getitem__
+        return [list(chain.from_iterable(map(ids, cs))) for cs in pieces]
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so tokens are joined by one space."""
@@ -295,11 +322,14 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Digests of encode() and decode(), made where the tokens are."""
+def digests(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
+    """Digests of each row's ids, and of the text that these ids decode to.
+
+    With ids, the ids are a column too (array<int>).
+    """
     held_names(docs, "doc_id", "text")
     path = path or default_path()
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -307,16 +337,14 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             texts = [x or "" for x in batch["text"].to_pylist()]
             for a, b in _some(texts):
-                n, ids, back = [], [], []
-                for chunks in own.chunked(texts[a:b]):
-                    got = [x for c in chunks if (x := own.chunks[c])[2]]
-                    n.append(sum(x[2] for x in got))
-                    ids.append(sha(" ".join([x[0] for x in got])))
-                    back.append(sha(" ".join([x[1] for x in got])))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=names)
+                got = own.encode(texts[a:b])
+                said = [sha(" ".join(map(own.numbers.__getitem__, x))) for x in got]
+                back = [sha(own.decode(x)) for x in got]
+                more = [pa.array(got, pa.list_(pa.int32()))] * ids
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], pa.array(map(len, got), pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string()), *more], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

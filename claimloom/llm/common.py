@@ -30,29 +30,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a local master gets a temporary one; a cluster has to name one.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/claimloom/{name}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme that Spark would take, for readers other than Spark."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return out.replace("file:/", "file:///", 1) if out.startswith("file:/") and not out.startswith("file://") else out
+
+
 def stored(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
     Cuts the lineage: a lost executor costs no more than its own reads. Python
-    tasks get batch_rows rows at a time, so that wide rows need little memory.
+    tasks get batch_rows rows at a time, so that wide rows need little memory;
+    the session's own setting is back after the write.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/claimloom/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     before = spark.conf.get(BATCH)
     spark.conf.set(BATCH, batch_rows)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of the shared folder."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing reads any more."""
+    for x in tables:
+        remove(x.sparkSession, x.stored_at)
+
+
+def free_name(name: str, *taken: str) -> str:
+    """name, with underscores before it where a column (case aside) has it."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
