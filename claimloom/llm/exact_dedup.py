@@ -3,10 +3,11 @@
 Each document becomes a SHA-256 digest in the JVM. Tasks first fold the digests
 of their own rows, so that a text with any number of copies sends one entry for
 each task and a third of all rows under one text is no hot group. The entries
-are dealt by digest to index shards. A shard is a cuckoo filter (16-bit
+are dealt by digest to index shards of bounded size. A shard is a cuckoo filter (16-bit
 fingerprints, four slots a bucket) whose slots point at stored digests: a
 fingerprint hit is verified against the stored digest, a miss is inserted, and
-an overflow doubles the filter and rebuilds it from the stored digests.
+an overflow doubles the filter and rebuilds it from the stored digests. SHA-256
+stands for the text's content: no two texts with one digest are known.
 
 Defined cases: a null text counts as empty; empty texts equal each other; rows
 that repeat a doc_id and its text are copies, of which one stays; a null doc_id
@@ -23,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import held_names, mix64, partitions, stored, table
+from claimloom.llm.common import free_name, held_names, mix64, partitions, stored, table
 
 SLOTS = 4
 KICKS = 200
-#: Entries that a task folds before it sends them on.
-FOLDED = 1 << 18
+#: Entries that a task folds before it sends them on, and entries of a shard.
+FOLDED, SHARD = 1 << 18, 1 << 20
+#: A group of more than a HOT-th of all rows is broadcast, not shuffled.
+HOT = 1024
+LOWEST = np.iinfo(np.int64).min
 
 
 class CuckooIndex:
@@ -140,64 +144,102 @@ def _digests(column) -> np.ndarray:
     return np.frombuffer(raw, dtype=">u8").astype(np.uint64).reshape(-1, 4)
 
 
+def _later(doc, row: int, old: tuple) -> bool:
+    """Whether (doc, row) is larger; a null doc_id is smaller than any other."""
+    return (doc is not None, doc or 0, row) > (old[0] is not None, old[0] or 0, old[1])
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One (digest, largest row, rows) for each digest of a task, near enough."""
-    held: dict[bytes, list] = {}
-    schema = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+    """One (digest, largest doc_id and row, rows) for each digest of a task, near enough."""
+    held: dict[bytes, tuple] = {}
 
     def out() -> pa.RecordBatch:
-        rows = list(held.items())
+        rows = [(k, *v) for k, v in held.items()]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([v[0] for _, v in rows], pa.int64()), pa.array([v[1] for _, v in rows], pa.int64())], schema=schema)
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=_NAMES)
 
     for batch in batches:
-        for digest, doc, n in zip(batch["digest"].to_pylist(), batch["keep_id"].to_pylist(), batch["group_size"].to_pylist(), strict=True):
+        for digest, doc, row, n in zip(*(batch[x].to_pylist() for x in _NAMES), strict=True):
             old = held.get(digest)
             if old is None:
-                held[digest] = [doc, n]
+                held[digest] = doc, row, n
             else:
-                old[0] = doc if old[0] is None or (doc is not None and doc > old[0]) else old[0]
-                old[1] += n
+                held[digest] = (doc, row, n + old[2]) if _later(doc, row, old) else (*old[:2], n + old[2])
         if len(held) >= FOLDED:
             yield out()
     yield out()
 
 
-def _index_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Folds entries by digest through a cuckoo index."""
-    index = CuckooIndex()
-    lowest = np.iinfo(np.int64).min
-    keep, size = np.full(1 << 10, lowest), np.zeros(1 << 10, dtype=np.int64)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+class _Shard:
+    """A cuckoo index, and for each of its entries what stays and how many rows there are."""
+
+    def __init__(self) -> None:
+        self.index = CuckooIndex()
+        self.keep, self.row, self.size = (np.zeros(0, dtype=np.int64) for _ in range(3))
+
+    def add(self, batch: pa.RecordBatch) -> None:
         keys, inverse = np.unique(_digests(batch["digest"]), axis=0, return_inverse=True)
-        at = index.find(keys)
+        at = self.index.find(keys)
         if (new := np.flatnonzero(at < 0)).size:
-            at[new] = index.insert(keys[new])
-        while index.used > len(keep):
-            keep, size = np.concatenate([keep, np.full(len(keep), lowest)]), np.concatenate([size, np.zeros(len(size), dtype=np.int64)])
+            at[new] = self.index.insert(keys[new])
+            more = self.index.used - len(self.keep)
+            self.keep, self.row = (np.concatenate([x, np.full(more, LOWEST)]) for x in (self.keep, self.row))
+            self.size = np.concatenate([self.size, np.zeros(more, dtype=np.int64)])
         at = at[inverse.ravel()]
-        np.maximum.at(keep, at, np.asarray(batch["keep_id"].fill_null(lowest)))
-        np.add.at(size, at, np.asarray(batch["group_size"]))
-    for a in range(0, index.used, 10_000):
-        b = min(a + 10_000, index.used)
-        raw = index.keys[a:b].astype(">u8").tobytes()
-        ids = keep[a:b]
-        yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], pa.binary()), pa.array(ids, mask=ids == lowest), pa.array(size[a:b])], names=["digest", "keep_id", "group_size"])
+        doc, row = np.asarray(batch["keep_id"].fill_null(LOWEST)), np.asarray(batch["keep_row"])
+        np.add.at(self.size, at, np.asarray(batch["group_size"]))
+        order = np.lexsort((row, doc, at))
+        last = order[np.r_[at[order][1:] != at[order][:-1], True]]
+        at, doc, row = at[last], doc[last], row[last]
+        wins = (doc > self.keep[at]) | ((doc == self.keep[at]) & (row > self.row[at]))
+        self.keep[at[wins]], self.row[at[wins]] = doc[wins], row[wins]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for a in range(0, self.index.used, 10_000):
+            b = min(a + 10_000, self.index.used)
+            raw = self.index.keys[a:b].astype(">u8").tobytes()
+            ids = self.keep[a:b]
+            yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], pa.binary()), pa.array(ids, mask=ids == LOWEST), pa.array(self.row[a:b]), pa.array(self.size[a:b])], names=_NAMES)
+
+
+def _index_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folds entries, sorted by shard, by digest: one cuckoo index at a time."""
+    now, shard = None, _Shard()
+    for batch in batches:
+        ids = np.asarray(batch["shard"])
+        edges = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            if ids[a] != now:
+                yield from shard.rows()
+                now, shard = ids[a], _Shard()
+            shard.add(batch.slice(a, b - a))
+    yield from shard.rows()
 
 
-_ENTRY = "digest binary, keep_id long, group_size long"
+_NAMES = ["digest", "keep_id", "keep_row", "group_size"]
+_ENTRY = "digest binary, keep_id long, keep_row long, group_size long"
 
 
-def with_digest(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+def text_digest() -> F.Column:
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def live_groups(digests: DataFrame) -> DataFrame:
-    """(digest, keep_id, group_size) from rows of (doc_id, digest)."""
-    rows = digests.select("digest", F.col("doc_id").cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    return rows.mapInArrow(_fold, _ENTRY).repartition(partitions(digests.sparkSession), "digest").mapInArrow(_index_shard, _ENTRY)
+    """(digest, keep_id, keep_row, group_size) from rows of (doc_id, row, digest).
+
+    Digests are dealt to shards of about SHARD entries each, however many there
+    are; a task goes through its shards one by one.
+    """
+    spark = digests.sparkSession
+    rows = digests.select("digest", F.col("doc_id").cast("long").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
+    folded = stored(rows.mapInArrow(_fold, _ENTRY), "folded")
+    shards = max(partitions(spark), -(-folded.count() // SHARD))
+    dealt = folded.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
+    dealt = dealt.repartition(min(shards, 20 * partitions(spark)), "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(_index_shards, _ENTRY)
 
 
 def update_index(index: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -225,30 +267,42 @@ def update_index(index: DataFrame, inserted: DataFrame, deleted: DataFrame) -> D
     return marked.distinct().repartition(partitions(index.sparkSession), "digest").mapInArrow(shard, "digest binary")
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, n: int) -> DataFrame:
+    """Each row (digest, ...) with its group.
+
+    A group of a HOT-th of all n rows and more would meet in one task; of such
+    there are HOT at most, so they're broadcast, and only the others are shuffled.
+    """
+    hot = F.col("group_size") * HOT >= n
+    many = F.broadcast(groups.filter(hot).select(F.col("digest").alias("hot_digest"), F.col("keep_id").alias("hot_id"), F.col("keep_row").alias("hot_row"), F.col("group_size").alias("hot_size")))  # HOT rows at most
+    rows = rows.join(many, F.col("digest") == F.col("hot_digest"), "left")
+    own = rows.filter("hot_digest IS NOT NULL").select("doc_id", "row", "digest", F.col("hot_id").alias("keep_id"), F.col("hot_row").alias("keep_row"), F.col("hot_size").alias("group_size"))
+    rest = rows.filter("hot_digest IS NULL").select("doc_id", "row", "digest").join(groups.filter(~hot), "digest")
+    return own.unionByName(rest)
+
+
 def copy_groups(docs: DataFrame) -> DataFrame:
     """Each row's group of equal texts, and whether the row stays."""
     held_names(docs, "doc_id", "text")
-    rows = stored(with_digest(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "digest"), "digests")
-    joined = rows.join(live_groups(rows), "digest")
-    # rows that repeat both doc_id and text: one of them stays
-    turn = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy(F.lit(1)))
-    repeats = rows.groupBy("digest", "doc_id").count().filter("count > 1").select("digest", "doc_id").withColumn("repeated", F.lit(True))
-    same = (F.col("a.digest") == F.col("b.digest")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
-    joined = joined.alias("a").join(repeats.alias("b"), same, "left").select("a.*", F.coalesce("b.repeated", F.lit(False)).alias("repeated"))
-    top = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    once = joined.filter(~F.col("repeated")).withColumn("kept", top)
-    many = joined.filter("repeated").withColumn("kept", top & (turn == 1))
-    return once.unionByName(many).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    # the row's number is written, so it's the same wherever it is read; it breaks ties
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_digest().alias("digest")), "digests")
+    out = _with_groups(rows, stored(live_groups(rows), "groups"), rows.count())
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row"))
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the copies of a text that has a larger doc_id; all columns."""
-    rows = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    groups = live_groups(stored(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_digest").alias("digest")), "digests"))
-    groups = groups.select(F.col("digest").alias("_digest"), F.coalesce("keep_id", F.lit(-(2**63))).alias("_keep"))
-    rows = rows.withColumn("_keep", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    turn = F.row_number().over(Window.partitionBy("_digest", "_keep").orderBy(F.lit(1)))
-    return rows.join(groups, ["_digest", "_keep"]).withColumn("_turn", turn).filter("_turn = 1").select(*docs.columns)
+    """docs without the copies of a text that has a larger doc_id; all columns.
+
+    Of rows that repeat doc_id and text one stays, any of them. Copies go by their
+    digests first, so only what no other row outranks is sorted out by row.
+    """
+    digest, keep, turn = (free_name(x, *docs.columns) for x in ("_digest", "_keep", "_turn"))
+    low = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    digests = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_digest().alias("digest"))
+    groups = live_groups(stored(digests, "digests")).select(F.col("digest").alias(digest), F.coalesce("keep_id", F.lit(-(2**63))).alias(keep))
+    rows = docs.withColumn(digest, text_digest()).withColumn(keep, low).join(groups, [digest, keep])
+    return rows.withColumn(turn, F.row_number().over(Window.partitionBy(digest, keep).orderBy(F.lit(1)))).filter(F.col(turn) == 1).select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
