@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import WORD, held_names, stored, table
+from claimloom.llm.common import WORD, free_name, held_names, stored, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -89,14 +89,16 @@ def repeat_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: s
     """The mixed documents: each as often as the mix takes it, columns kept.
 
     A document that the budget cuts goes in whole, so a source has less than
-    one document more than its target.
+    one document more than its target. A document without words goes: no budget
+    takes it. Rows that repeat a doc_id within a source are taken equally often.
     """
+    own_id, own_source, copies, copy = (free_name(x, *docs.columns) for x in ("_id", "_source", "_copies", "_copy"))
     ids = mix(docs, weights, most, seed).filter("taken > 0")
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    ids = ids.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max(copies).alias("_copies"))
-    same = (F.col("doc_id").eqNullSafe(F.col("_id"))) & F.col("source").eqNullSafe(F.col("_source"))
+    times = F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int")
+    ids = ids.groupBy(F.col("doc_id").alias(own_id), F.col("source").alias(own_source)).agg(times.alias(copies))
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source))
     out = docs.filter(F.col("text").rlike(WORD)).join(ids, same)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
