@@ -21,8 +21,8 @@ back exactly whatever a text says. The loss mask covers the text of assistant
 turns.
 
 Defined cases: a null text is empty, a null role is an empty role, a line feed
-in a role becomes a space; events with a
-null seq come first; equal seqs are ordered by kind, role and text; rows without
+in a role is escaped; events with a null seq come first; equal seqs are ordered by
+kind, ref, role and text, so repeated rows are messages of their own; rows without
 conv_id form one conversation under null; a conversation whose messages are all
 gone renders to an empty string; an empty table gives no rows.
 """
@@ -52,14 +52,22 @@ def escape(text: str) -> str:
     return text
 
 
+def escape_role(role: str) -> str:
+    """A role ends at the line feed, so its own ones are escaped too."""
+    return escape(role).replace("\n", ESCAPE + "n")
+
+
 def unescape(text: str) -> str:
-    # an escape sign stands before another one, or inside a control string
+    # an escape sign stands before another one or an n, or inside a control string
     out, at = [], 0
     while (k := text.find(ESCAPE, at)) >= 0:
         out.append(text[at:k])
         if text[k + 1 : k + 2] == ESCAPE:
             out.append(ESCAPE)
             at = k + 2
+        elif text[k + 1 : k + 2] == "n":  # no control string has it there
+            out.append("\n")
+            at = k + 2
         else:
             at = k + 1
     out.append(text[at:])
@@ -98,7 +106,7 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The formatted text and the spans of it that the loss mask covers."""
     out, at, mask = [], 0, []
     for role, text in turns:
-        head, body = f"{OPEN}{escape(role)}\n", escape(text)
+        head, body = f"{OPEN}{escape_role(role)}\n", escape(text)
         if role == "assistant":
             mask.append((at + len(head), at + len(head) + len(body)))
         part = f"{head}{body}{CLOSE}\n"
@@ -108,7 +116,7 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
-    """The turns of a rendered conversation; roles have no line feed."""
+    """The turns of a rendered conversation."""
     turns = []
     for part in formatted.split(CLOSE + "\n"):
         if part:
@@ -121,7 +129,7 @@ def reconstruct(events: DataFrame) -> DataFrame:
     """conv_id, formatted, mask_starts and mask_ends of each conversation."""
     held_names(events, *FIELDS)
     n = partitions(events.sparkSession)
-    order = [F.asc_nulls_first(x) for x in ("conv_id", "seq", "kind", "role", "text")]
+    order = [F.asc_nulls_first(x) for x in ("conv_id", "seq", "kind", "ref", "role", "text")]
     rows = events.select(*FIELDS).repartition(n, "conv_id").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +137,7 @@ def reconstruct(events: DataFrame) -> DataFrame:
         now, fold = None, None
 
         def close() -> None:
-            formatted, mask = render([(r.replace("\n", " "), t) for r, t in fold.turns()])
+            formatted, mask = render(fold.turns())
             ids.append(now)
             texts.append(formatted)
             starts.append([a for a, _ in mask])
@@ -192,7 +200,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CONTROL = r"replace(replace(replace(replace(replace(replace(replace({}, '\', '\\'), '<|turn|>', '<\|turn|>'), '<|end|>', '<\|end|>'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
-SQL = f"""
+SQL = rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
@@ -200,6 +208,6 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       sum(length({_CONTROL.format('role')}) + length({_CONTROL.format('text')}) + 17)::BIGINT AS formatted_chars
+       sum(length(replace({_CONTROL.format('role')}, chr(10), '\n')) + length({_CONTROL.format('text')}) + 17)::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
 """
