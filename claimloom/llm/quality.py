@@ -5,16 +5,20 @@ encoded from counts of byte classes, of pairs of them, and of properties of its
 words. Gated attention, learned from labels of whole documents, weighs the
 encoded passages; the weighted sum is scored. Fitting is done in numpy, on at
 most `sample` labelled documents (SAMPLE by default), the first by a hash of
-doc_id, of which the driver gets passage features only (at most MOST_PASSAGES).
+doc_id, and on all of their passages: the driver gets passage features only and
+keeps them in a file, of which a step of the fit reads one batch of documents.
 
 Defined cases: a null text is empty; an empty text is one passage without words;
-labels that are null or lack a document are not used; if only one label is left
-every score is its value; repeated rows score alike; texts of any length are
-encoded whole.
+labels that are null or lack a document are not used; of several labels of a
+document the largest counts, of several texts one; if only one label is left every
+score is its value; repeated rows score alike; texts of any length are encoded
+whole; further columns are carried by `drop_poor` and ignored by `score`; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import BLANK, crc_mod, doc_word_hashes, held_names, table
+from claimloom.llm.common import BLANK, crc_mod, doc_word_hashes, free_name, held_names, table
 from claimloom.llm.toxicity import labelled
 
 SAMPLE = 8_000
-MOST_PASSAGES = 120_000
 PASSAGE = 100
 PREDICT = 0.3
 HIDDEN, GATE = 24, 16
@@ -133,9 +136,17 @@ class GatedAttention:
         dx = dz * (1 - f["z"] ** 2)
         return {"E": x.T @ dx, "e": dx.sum(0), "V": f["z"].T @ dt, "U": f["z"].T @ ds, "w": (f["t"] * f["s"]).T @ da[:, None], "o": f["r"].T @ d, "b": d.sum(0)}
 
+    def _scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x.astype(np.float32) - self.mean) / self.scale, -6, 6)
+
     def fit(self, x: np.ndarray, counts: np.ndarray, label: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 4e-3, decay: float = 1e-3, seed: int = 7) -> None:
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        x = np.clip((x - self.mean) / self.scale, -6, 6)
+        """x may be a mapped file: no step holds more than the passages of `batch` documents."""
+        total = square = 0.0
+        for a in range(0, len(x), 1 << 13):
+            part = x[a : a + (1 << 13)].astype(np.float64)
+            total, square = total + part.sum(axis=0), square + (part**2).sum(axis=0)
+        self.mean = total / len(x)
+        self.scale = np.sqrt(np.maximum(square / len(x) - self.mean**2, 0)) + 1e-3
         rng, ends = np.random.default_rng(seed), np.cumsum(counts)
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         step = 0
@@ -143,9 +154,9 @@ class GatedAttention:
             order = rng.permutation(len(counts))
             for a in range(0, len(order), batch):
                 docs = order[a : a + batch]
-                rows = np.concatenate([np.arange(ends[i] - counts[i], ends[i]) for i in docs])
+                rows = self._scaled(np.concatenate([x[ends[i] - counts[i] : ends[i]] for i in docs]))
                 starts = np.r_[0, np.cumsum(counts[docs])[:-1]]
-                g = self._gradient(x[rows], starts, np.repeat(np.arange(len(docs)), counts[docs]), label[docs])
+                g = self._gradient(rows, starts, np.repeat(np.arange(len(docs)), counts[docs]), label[docs])
                 step += 1
                 now = rate * (1 - epoch / epochs)
                 for k, v in self.p.items():
@@ -156,8 +167,7 @@ class GatedAttention:
     def predict(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if not len(counts):
             return np.zeros(0)
-        x = np.clip((x - self.mean) / self.scale, -6, 6)
-        return self._forward(x, np.r_[0, np.cumsum(counts)[:-1]], np.repeat(np.arange(len(counts)), counts))["y"]
+        return self._forward(self._scaled(x), np.r_[0, np.cumsum(counts)[:-1]], np.repeat(np.arange(len(counts)), counts))["y"]
 
 
 class Constant:
@@ -195,18 +205,17 @@ def fit(docs: DataFrame, labels: DataFrame, held: F.Column, sample: int = SAMPLE
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], batch["label"][a:b], pa.array(counts), pa.array(bags, pa.binary())], names=["doc_id", "label", "n", "x"])
 
     found = rows.mapInArrow(measure, "doc_id long, label int, n long, x binary")
-    # long documents have many passages: the fit takes bags up to its bound
-    x, counts, y, held_rows = [], [], [], 0
-    for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
-        if held_rows + r["n"] <= MOST_PASSAGES:
-            held_rows += r["n"]
-            x.append(np.frombuffer(r["x"], dtype=np.float16).reshape(r["n"], N_FEATURES))
+    counts, y = [], []
+    with tempfile.TemporaryFile() as file:  # the driver's own
+        for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():  # `sample` rows
+            file.write(r["x"])
             counts.append(r["n"])
             y.append(float(r["label"] > 0))
-    if len(set(y)) < 2:
-        return Constant(y[0] if y else 0.5)
-    model = GatedAttention()
-    model.fit(np.concatenate(x).astype(np.float32), np.array(counts), np.array(y))
+        if len(set(y)) < 2:
+            return Constant(y[0] if y else 0.5)
+        file.flush()
+        model = GatedAttention()
+        model.fit(np.memmap(file, dtype=np.float16, mode="r", shape=(sum(counts), N_FEATURES)), np.array(counts), np.array(y))
     return model
 
 
@@ -216,9 +225,7 @@ def score(docs: DataFrame, model: GatedAttention | Constant, carry: bool = False
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
     rows = docs if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kept = docs.columns if carry else ["doc_id"]
-    name = "score"
-    while name in kept:
-        name = "_" + name
+    name = free_name("score", *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
