@@ -9,12 +9,14 @@ inside one counts nothing. Weights of the hits, with their number and density by
 length, go through a logistic calibration.
 
 The fit uses at most `sample` labelled documents (SAMPLE by default), the first
-by a hash of doc_id; its join is broadcast, of that size at most. The lexicon
-holds at most LEXICON entries, the most significant ones.
+by a hash of doc_id; its join is broadcast, of that size at most. The lexicon and
+the exceptions hold every term that is significant in them, however many.
 
 Defined cases: a null text is empty; an empty text scores what no hit in no
-words scores; labels that are null or lack a document are not used; if no label
-is left every score is 0; repeated rows score alike.
+words scores; labels that are null or lack a document are not used; of several
+labels of a document the largest counts, of several texts one; if no label is left
+every score is 0; repeated rows score alike; texts of any length are matched whole;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import crc_mod, held_names, stored, table
 
 SAMPLE = 20_000
-LEXICON = 4_000
 STEM = range(4, 11)
 LEAST_DOCS = 5
 #: How many times likelier in toxic documents, and by how many deviations.
@@ -49,17 +50,35 @@ LOOKALIKES = {
 # Digits and signs that stand for letters.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 
-_LETTERS = str.maketrans(LOOKALIKES)
 _DIGITS = str.maketrans(SUBSTITUTES)
-_MIXED = re.compile(r"(?=\S*[^\W\d_])\S*[0-9@$!]\S*")
-_HIDDEN = re.compile("[­​-‍⁠️]")
+_MARK = re.compile(r"[0-9@$!]")
+#: Words, from their start, that hold a digit or sign that may stand for a letter.
+_MIXED = re.compile(r"(?<!\S)[^\s0-9@$!]*[0-9@$!]\S*")
+_LETTER = re.compile(r"[^\W\d_]")
+_HIDDEN = dict.fromkeys(map(ord, "\u00ad\u200b\u200c\u200d\u2060\ufeff\ufe0f"))
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Folded texts start and end with it, and it stands between words.
 GAP = " "
 
 
+class _Plain(dict):
+    """For str.translate: a character without marks and hidden parts, as Latin where it looks so."""
+
+    def __missing__(self, code: int) -> str:
+        parts = unicodedata.normalize("NFKD", LOOKALIKES.get(chr(code), chr(code)))
+        out = "".join(LOOKALIKES.get(c, c) for c in parts if not unicodedata.combining(c))
+        if len(self) < 1 << 16:
+            self[code] = out
+        return out
+
+
+_PLAIN = _Plain(_HIDDEN)
+
+
 def _substitute(found: re.Match) -> str:
     word = found[0]
+    if not _LETTER.search(word):
+        return word
     core = word.rstrip("!")  # closing marks are no letters
     return core.translate(_DIGITS) + word[len(core) :]
 
@@ -68,9 +87,9 @@ def fold(text: str) -> str:
     """GAP-separated words of a text after folding."""
     text = text.lower()
     if not text.isascii():
-        text = _HIDDEN.sub("", text).translate(_LETTERS)
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    text = _MIXED.sub(_substitute, text)
+        text = text.translate(_PLAIN)
+    if _MARK.search(text):
+        text = _MIXED.sub(_substitute, text)
     return GAP + GAP.join(_WORDS.findall(text)) + GAP
 
 
@@ -89,8 +108,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held: DataFrame | F
     rows = labels.filter(~held & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
-    return stored(picked.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label"), f"sample-{label}")
+    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
+    return stored(picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), f"sample-{label}")
 
 
 def _count(make) -> object:
@@ -158,9 +177,14 @@ def _phrase(folded: str, start: int, end: int) -> list[str]:
     return out + ([folded[start : right + 1]] if right >= 0 else [])
 
 
-def features(automaton, exceptions: set[str], folded: str) -> list[float]:
+def live_hits(automaton, exceptions: set[str], folded: str) -> list[float]:
+    """The weights of hits outside exception phrases."""
+    return [w for a, b, w in hits(automaton, folded) if not (exceptions and exceptions.intersection(_phrase(folded, a, b)))]
+
+
+def features(own: list[float], folded: str) -> list[float]:
+    """What the calibration sees of a text and the weights of its hits."""
     words = folded.count(GAP) - 1
-    own = [w for a, b, w in hits(automaton, folded) if not (exceptions and exceptions.intersection(_phrase(folded, a, b)))]
     total = sum(own)
     return [1.0, min(len(own), 5.0), total / (1.0 + words) ** 0.5, float(np.log1p(total)), float(np.log1p(100.0 * len(own) / (words + 10.0)))]
 
@@ -185,11 +209,12 @@ def fit(docs: DataFrame, labels: DataFrame, held: F.Column, sample: int = SAMPLE
     sums = [F.sum(x).alias(x) for x in ("toxic", "clean")]
     shape = "term string, toxic long, clean long"
     found = _odds(rows.mapInArrow(_count(terms), shape).groupBy("term").agg(*sums).filter(F.col("toxic") >= LEAST_DOCS), n_toxic, n_clean)
-    found = found.filter((F.col("weight") >= float(np.log(LEAST_ODDS))) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "term").limit(4 * LEXICON)
+    found = found.filter((F.col("weight") >= float(np.log(LEAST_ODDS))) & (F.col("z") >= LEAST_Z))
     lexicon: dict[str, float] = {}
+    # each is in LEAST_DOCS documents of the sample, which bounds their number
     for r in sorted(found.collect(), key=lambda r: (len(r["term"]), r["term"])):
         # a longer start adds nothing where a shorter one is in already
-        if len(lexicon) < LEXICON and not any(r["term"][:k] in lexicon for k in range(4, len(r["term"]))):
+        if not any(r["term"][:k] in lexicon for k in range(4, len(r["term"]))):
             lexicon[r["term"]] = float(r["weight"])
 
     def around(folded: str) -> set[str]:
@@ -200,15 +225,16 @@ def fit(docs: DataFrame, labels: DataFrame, held: F.Column, sample: int = SAMPLE
         yield from _count(around)(batches)
 
     clean = rows.mapInArrow(phrases, shape).groupBy("term").agg(*sums).filter(f"clean >= {LEAST_DOCS} AND toxic * 20 <= clean")
-    exceptions = {r["term"] for r in clean.orderBy(F.desc("clean"), "term").limit(LEXICON).collect()}
+    exceptions = {r["term"] for r in clean.collect()}
 
     def measure(batches):
         automaton = matcher(lexicon)
         for batch in batches:
-            x = [features(automaton, exceptions, fold(t)) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
+            folded = map(fold, batch["text"].to_pylist())
+            x = [features(live_hits(automaton, exceptions, t), t) for t in folded]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    got = rows.mapInArrow(measure, "label int, x array<double>").orderBy("label", "x").toPandas()
+    got = rows.mapInArrow(measure, "doc_id long, label int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     x, y = np.array(got["x"].tolist()), (got["label"].to_numpy() > 0).astype(float)
     return {"lexicon": lexicon, "exceptions": exceptions, "weights": _logistic(x, y)}
 
@@ -216,15 +242,20 @@ def fit(docs: DataFrame, labels: DataFrame, held: F.Column, sample: int = SAMPLE
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score and n_hits of each row."""
     held_names(docs, "doc_id", "text")
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON entries at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # what the sample bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         automaton = matcher(own["lexicon"])
         for batch in batches:
-            x = np.array([features(automaton, own["exceptions"], fold(t or "")) for t in batch["text"].to_pylist()]).reshape(-1, 5)
-            p = 1 / (1 + np.exp(-np.clip(x @ own["weights"], -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.round(p, 9)), pa.array(x[:, 1].astype(np.int64))], names=["doc_id", "score", "n_hits"])
+            x, n = [], []
+            for text in batch["text"].to_pylist():
+                folded = fold(text or "")
+                weights = live_hits(automaton, own["exceptions"], folded)
+                x.append(features(weights, folded))
+                n.append(len(weights))
+            p = 1 / (1 + np.exp(-np.clip(np.array(x).reshape(-1, 5) @ own["weights"], -40, 40)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.round(p, 9)), pa.array(n, pa.int64())], names=["doc_id", "score", "n_hits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, n_hits long")
 
