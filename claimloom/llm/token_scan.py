@@ -1,35 +1,41 @@
 """Token counts of documents in flat, unindexed token files.
 
-A token file is nothing but token ids: each document's tokens, then one
-end-of-document id. It is read in blocks of fixed size that know nothing of
-documents. Every block finds its separators with one vectorised comparison and
-reports a summary: tokens before the first separator, lengths between
-separators, tokens after the last. A prefix scan over the blocks of a file, in
-two levels so that no task holds a whole file, turns summaries into the number of
-documents and the open tokens before each block, which completes the first
-document of every block.
+A token file is binary and nothing but token ids (two bytes each, low byte first):
+each document's tokens, then one end-of-document id. It is read in blocks of fixed
+size that know nothing of documents. Every block finds its separators with one
+vectorised comparison and reports a summary: tokens before the first separator,
+lengths between separators, tokens after the last. A prefix scan over the blocks
+of a file, in two levels so that no task holds a whole file, turns summaries into
+the number of documents and the open tokens before each block, which completes the
+first document of every block.
+
+Tasks write the files to, and read ranges of them from, the folder that driver and
+executors share, through pyarrow's file systems (local, HDFS, S3, ...). A file is
+named by its attempt, and only the files that a finished task reports count, so a
+lost executor leaves at most a file that nobody reads.
 
 Defined cases: an empty or null text is a document of 0 tokens; a document may
 span any number of blocks; tokens after the last separator of a file are an
 unfinished document and aren't counted; an empty table has no files and gives no
-rows; a null doc_id stays null.
+rows; a null doc_id stays null; repeated rows are counted each.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import held_names, stored, table
+from claimloom.llm.common import held_names, new_path, partitions, qualified, remove, stored, table
 
-BLOCK_TOKENS = 1 << 14
+BLOCK_TOKENS = 1 << 19
 GROUP = 1024
 #: No document's id: the public byte-level vocabulary leaves it free.
 END = 50_256
@@ -51,65 +57,66 @@ def encoding(path: str):
     return tiktoken.Encoding("flat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def flat_files(docs: DataFrame, path: str | None = None, block: int = BLOCK_TOKENS) -> DataFrame:
-    """Token files as blocks: file, block, tokens (uint16), ids.
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri)
 
-    Each task of the scan writes one file. ids, the doc_ids that end in the
-    block, are a manifest beside the file; scanning doesn't look at them.
+
+def write_flat(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
+    """Writes one token file for each task; file, first, ids, n_bytes.
+
+    ids are the doc_ids of the file's documents from ordinal `first` on, a side
+    table that scanning doesn't see; the last row of a file has its size.
     """
     held_names(docs, "doc_id", "text")
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, number = TaskContext.get().partitionId(), 0
-        rest, ids = np.empty(0, dtype=np.uint16), []
-
-        def out(blocks: list[np.ndarray]) -> pa.RecordBatch:
-            nonlocal number, ids
-            own, at = [], 0
-            for x in blocks:
-                n = int((x == END).sum())
-                own.append(ids[at : at + n])
-                at += n
-            ids = ids[at:]
-            rows = pa.RecordBatch.from_arrays([pa.array([file] * len(blocks), pa.int32()), pa.array(range(number, number + len(blocks)), pa.int64()), pa.array([x.tobytes() for x in blocks], pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["file", "block", "tokens", "ids"])
-            number += len(blocks)
-            return rows
-
-        for batch in batches:
-            texts, docs_ = [x or "" for x in batch["text"].to_pylist()], batch["doc_id"].to_pylist()
-            for a in range(0, len(texts), 256):
-                flat = [rest]
-                for text in texts[a : a + 256]:
-                    flat.append(np.array(encoding(path).encode_ordinary(text), dtype=np.uint16))
-                    flat.append(np.array([END], dtype=np.uint16))
-                ids.extend(docs_[a : a + 256])
-                rest = np.concatenate(flat)
-                full = len(rest) // block
-                if full:
-                    yield out([rest[i * block : (i + 1) * block] for i in range(full)])
-                    rest = rest[full * block :]
-        if len(rest):
-            yield out([rest])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file int, block long, tokens binary, ids array<long>")
-
-
-def scan(blocks: DataFrame, end: int = END) -> DataFrame:
-    """file, ordinal (of the document in its file) and n_tokens of each document."""
+        own, root = _opened(folder)
+        file, first, size, sink = f"{uuid.uuid4().hex}.bin", 0, 0, None
+
+        def row(ids: list, n: int | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.int64())], names=["file", "first", "ids", "n_bytes"])
+
+        try:
+            for batch in batches:
+                texts, ids = [x or "" for x in batch["text"].to_pylist()], batch["doc_id"].to_pylist()
+                for a in range(0, len(texts), 256):
+                    sink = sink or own.open_output_stream(f"{root}/{file}")
+                    for text in texts[a : a + 256]:
+                        size += sink.write(np.array([*encoding(path).encode_ordinary(text), END], dtype="<u2").tobytes())
+                    yield row(ids[a : a + 256], None)
+                    first += len(ids[a : a + 256])
+        finally:
+            if sink:
+                sink.close()
+        if sink:
+            yield row([], size)
+
+    own, root = _opened(folder)
+    own.create_dir(root, recursive=True)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file string, first long, ids array<long>, n_bytes long")
+
+
+def scan(files: DataFrame, folder: str, end: int = END, block: int = BLOCK_TOKENS) -> DataFrame:
+    """file, ordinal (of the document in its file) and n_tokens, from files (file, n_bytes)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, root = _opened(folder)
         for batch in batches:
             head, tail, inner = [], [], []
-            for raw in batch["tokens"].to_pylist():
-                tokens = np.frombuffer(raw or b"", dtype=np.uint16)
+            for file, k, size in zip(*(batch[x].to_pylist() for x in ("file", "block", "n_bytes")), strict=True):
+                with own.open_input_file(f"{root}/{file}") as f:
+                    tokens = np.frombuffer(f.read_at(min(2 * block, size - 2 * block * k), 2 * block * k), dtype="<u2")
                 at = np.flatnonzero(tokens == end)
                 head.append(int(at[0]) if len(at) else None)
                 tail.append(len(tokens) - int(at[-1]) - 1 if len(at) else len(tokens))
                 inner.append(np.diff(at) - 1 if len(at) else [])
             yield pa.RecordBatch.from_arrays([batch["file"], batch["block"], pa.array(head, pa.int64()), pa.array(tail, pa.int64()), pa.array(inner, pa.list_(pa.int64()))], names=["file", "block", "head", "tail", "inner"])
 
-    found = stored(blocks.select("file", "block", "tokens").mapInArrow(find, "file int, block long, head long, tail long, inner array<long>"), "separators")
+    last = F.floor((F.col("n_bytes") - 1) / (2 * block)).cast("long")
+    blocks = files.filter("n_bytes > 0").select("file", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    blocks = blocks.repartition(partitions(files.sparkSession), "file", "block")
+    found = stored(blocks.mapInArrow(find, "file string, block long, head long, tail long, inner array<long>"), "separators", 64)
     found = found.withColumn("part", F.floor(F.col("block") / GROUP)).withColumn("ends", F.when(F.col("head").isNull(), 0).otherwise(1 + F.size("inner")).cast("long"))
     # open tokens: tails are summed since the last block that has a separator
     last = F.max(F.when(F.col("head").isNotNull(), F.col("block")))
@@ -136,14 +143,16 @@ def scan(blocks: DataFrame, end: int = END) -> DataFrame:
     return rows.select("file", (F.col("first") + F.col("k")).alias("ordinal"), "n_tokens")
 
 
+def token_counts(docs: DataFrame, path: str | None = None, block: int = BLOCK_TOKENS) -> DataFrame:
+    """doc_id and n_tokens of each row, scanned out of flat token files."""
+    spark = docs.sparkSession
+    folder = qualified(spark, new_path(spark, "token-files"))
+    written = stored(write_flat(docs, folder, path), "written")
+    names = written.select("file", "first", F.posexplode("ids").alias("k", "doc_id"))
+    counts = scan(written.filter("n_bytes IS NOT NULL").select("file", "n_bytes"), folder, block=block)
+    remove(spark, folder)  # what the scan found is stored
+    return names.select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token count of each document, scanned out of flat token files."""
-    files = stored(flat_files(table(spark, sf_dir, "documents")), "token-files")
-    names = files.select("file", "block", F.size("ids").alias("n"), "ids").withColumn("part", F.floor(F.col("block") / GROUP))
-    parts = names.groupBy("file", "part").agg(F.sum("n").alias("p"))
-    running = lambda *keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("file", "part", F.coalesce(F.sum("p").over(running("file", order="part")), F.lit(0)).alias("p_first"))
-    names = names.withColumn("b_first", F.coalesce(F.sum("n").over(running("file", "part", order="block")), F.lit(0))).join(parts, ["file", "part"])
-    names = names.select("file", (F.col("p_first") + F.col("b_first")).alias("first"), F.posexplode("ids").alias("k", "doc_id"))
-    names = names.select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
-    return names.join(scan(files), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return token_counts(table(spark, sf_dir, "documents"))
