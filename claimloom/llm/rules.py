@@ -9,8 +9,9 @@ own key, and the model grows with the grams that the corpus holds.
 2. Shards add up the counts. Continuation counts, totals of contexts and lower
    orders come from them by grouped aggregation and joins.
 3. A shard holds its grams and log probabilities as sorted arrays and answers the
-   chunks' arrays; a chunk gets its answers back and scores its texts. No task and
-   no driver holds the model.
+   chunks' arrays; a chunk gets its answers back and scores its texts. The chunks
+   are a bucketed table, so answers move and texts don't. No task and no driver
+   holds the model.
 
 A document is part of what the model is fitted on, so each gram is scored as if one
 occurrence of it weren't there: what occurs once counts as unseen.
@@ -26,6 +27,7 @@ rows are judged alike, and count as often as they occur.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,15 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import BLANK, as_bytes, doc_word_hashes, grams, held_names, partitions, stored, table
+from claimloom.llm.common import as_bytes, doc_word_hashes, dropped, grams, held_names, new_path, partitions, remove, stored, table
 
 #: Bytes of a gram of the operator's model.
 DEPTH = 5
 #: Bytes of text that share their grams.
 CHUNK = 1 << 23
-#: kneser_ney and Model below: a model of few classes that one process holds; the operator doesn't use it.
-ORDER = 4
-BITS = 6
 #: Chosen on labelled rows; the README has what other factors reject.
 WIDE = 2.0
 MIN_WORDS, MOST_REPEATED = 50, 50
@@ -51,108 +50,14 @@ SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\v\f\r"
 
 
-def _symbols() -> np.ndarray:
-    """The class (1-63) of each byte; 0 stands before a text."""
-    out = np.zeros(256, dtype=np.uint32)
-    for b in range(256):
-        c = chr(b)
-        if b < 128 and c.isalpha():
-            out[b] = 1 + ord(c.lower()) - 97
-        elif BLANK[b]:
-            out[b] = 27
-        elif c in "0123456789":
-            out[b] = 28
-        elif c in ".,;:!?":
-            out[b] = 29
-        elif c in "'\"-()":
-            out[b] = 30
-        elif b < 128:
-            out[b] = 31
-        else:
-            out[b] = 32 + b % 32
-    return out
-
-
-SYMBOL = _symbols()
-
-
-def hashes(text: bytes) -> np.ndarray:
-    """The 24-bit hash of the 4-gram that ends at each byte."""
-    codes = np.concatenate([np.zeros(ORDER - 1, dtype=np.uint32), SYMBOL[np.frombuffer(text, dtype=np.uint8)]])
-    n = len(codes) - ORDER + 1
-    out = np.zeros(n, dtype=np.uint32)
-    for k in range(ORDER):
-        out = (out << np.uint32(BITS)) | codes[k : k + n]
-    return out
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 0, 1, 2 and 3 or more."""
-    return _discounts_of([int((n == k).sum()) for k in range(1, 5)])
-
-
 def _discounts_of(c: list[int]) -> np.ndarray:
-    """The same from how many grams occur once to four times."""
+    """Modified Kneser-Ney discounts for counts of 0, 1, 2 and 3 or more, from how many grams occur once to four times."""
     c = [max(1, x) for x in c]
     y = c[0] / (c[0] + 2 * c[1])
     d = [0.0] + [k - (k + 1) * y * c[k] / c[k - 1] for k in (1, 2, 3)]
     return np.clip(np.array(d), [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.85])
 
 
-def kneser_ney(gram: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order, lowest first: sorted hashes and log probabilities, then
-    sorted contexts and log weights of the next lower order."""
-    order = np.argsort(gram)
-    levels = [(gram[order].astype(np.int64), n[order].astype(np.float64))]
-    for _ in range(ORDER - 1):
-        # lower orders count in how many contexts a gram occurs
-        keys, counts = np.unique(levels[0][0] & ((1 << (BITS * (ORDER - len(levels)))) - 1), return_counts=True)
-        levels.insert(0, (keys, counts.astype(np.float64)))
-    out = []
-    for k, (keys, counts) in enumerate(levels):
-        d = _discounts(counts)[np.minimum(counts, 3).astype(int)]
-        context = keys >> BITS
-        contexts, at = np.unique(context, return_inverse=True)
-        total = np.bincount(at, weights=counts)
-        rest = np.bincount(at, weights=d) / total
-        if k:
-            low_keys, low_p = out[-1][:2]
-            lower = np.exp(low_p[np.searchsorted(low_keys, keys & ((1 << (BITS * k)) - 1))])
-        else:
-            lower = 1.0 / (1 << BITS)
-        p = (counts - d) / total[at] + rest[at] * lower
-        out.append((keys, np.log(p), contexts, np.log(np.maximum(rest, 1e-12))))
-    return out
-
-
-class Model:
-    """Sorted hash arrays, spread out once for direct look-up in a task."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.levels = levels
-        self.top = None
-
-    def __getstate__(self) -> dict:
-        return {"levels": self.levels, "top": None}
-
-    def _spread(self) -> None:
-        low = np.full(1, -np.log(1 << BITS), dtype=np.float32)
-        for k, (keys, p, contexts, rest) in enumerate(self.levels):
-            size = 1 << (BITS * (k + 1))
-            back = np.zeros(size >> BITS, dtype=np.float32)
-            back[contexts] = rest
-            # unseen: the context's weight times the lower order
-            now = (np.tile(low, size // len(low)).reshape(len(back), -1) + back[:, None]).reshape(-1).astype(np.float32) if k else np.full(size, low[0] + back[0], dtype=np.float32)
-            now[keys] = p
-            low = now
-        self.top = low
-
-    def log_perplexity(self, text: bytes) -> float:
-        if self.top is None:
-            self._spread()
-        return float(-self.top[hashes(text)].mean(dtype=np.float64)) if text else 0.0
-
-
 def byte_grams(text: bytes) -> np.ndarray:
     """The gram that ends at each byte."""
     codes = np.concatenate([np.zeros(DEPTH - 1, dtype=np.int64), np.frombuffer(text, dtype=np.uint8).astype(np.int64)])
@@ -306,13 +211,25 @@ def base_counts(text: str, h: np.ndarray) -> tuple[int, int, int, int, int]:
 _MEASURES = "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
+def bucketed(chunks: DataFrame, n: int) -> tuple[DataFrame, str, str]:
+    """chunks in a table of n buckets by chunk, its name and its folder.
+
+    Answers then come to the texts: grouping by chunk shuffles no text.
+    """
+    spark = chunks.sparkSession
+    name, path = f"chunks_{uuid.uuid4().hex}", new_path(spark, "chunks")
+    chunks.write.bucketBy(n, "chunk").option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name), name, path
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts and log_perplexity of each row."""
     held_names(docs, "doc_id", "text", "lang")
-    shards = partitions(docs.sparkSession) | 1
-    chunks = stored(in_chunks(docs), "chunks")
+    spark = docs.sparkSession
+    shards = partitions(spark) | 1
+    chunks, name, path = bucketed(in_chunks(docs), partitions(spark))
     packed = stored(packed_grams(chunks, shards), "packed-grams")
-    model = fit(stored(count_grams(packed), f"grams-{DEPTH}"))
+    model = stored(fit(stored(count_grams(packed), f"grams-{DEPTH}")), "model")
 
     def score(rows: pa.Table, found: pa.Table) -> pa.Table:
         keys = np.concatenate([np.empty(0, np.int64), *map(np.cumsum, _loose(found["grams"], np.int64))])
@@ -326,16 +243,21 @@ def measure(docs: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([rows["doc_id"], rows["lang"], *(pa.array(c, pa.int64()) for c in columns), pa.array(logs, pa.float64())], names=["doc_id", "lang", *_MEASURES, "log_perplexity"])
 
     shape = "doc_id long, lang string, " + ", ".join(f"{x} long" for x in _MEASURES) + ", log_perplexity double"
-    return chunks.groupBy("chunk").cogroup(answers(packed, model, shards).groupBy("chunk")).applyInArrow(score, shape)
+    out = stored(chunks.groupBy("chunk").cogroup(answers(packed, model, shards).groupBy("chunk")).applyInArrow(score, shape), "rules")
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, path)
+    dropped(packed, model)
+    return out
 
 
 def judge(docs: DataFrame, wide: float = WIDE) -> DataFrame:
     """The base counts, base_failed, log_perplexity, its band, and kept."""
-    rows = stored(measure(docs), "rules")
+    rows = measure(docs)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    at = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10_000)
-    bands = rows.filter(~F.col("base_failed")).groupBy(F.col("lang").alias("_lang")).agg(at.alias("q"))
+    # exact quartiles of rounded values, counted first: reruns agree, and a language of any size sends few rows
+    valued = rows.filter(~F.col("base_failed")).groupBy(F.col("lang").alias("_lang"), F.round("log_perplexity", 3).alias("v")).agg(F.count("*").alias("n"))
+    bands = valued.groupBy("_lang").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q"))
     low, high = F.col("q")[0], F.col("q")[1]
     slack = F.lit(wide) * F.greatest(high - low, F.lit(0.01))
     bands = stored(bands.select("_lang", (low - slack).alias("band_low"), (high + slack).alias("band_high")), "bands")
