@@ -1,8 +1,8 @@
-"""From documents to token counts: stages of the training-data pipeline.
+"""From documents to token ids: stages of the training-data pipeline.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as
 Parquet and read again as the next one's docs. All but the last keep the columns
-of documents.
+of documents, whatever further ones there are. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -10,40 +10,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimloom.llm import bpe, exact_dedup, jaccard_join, mixing, quality
-from claimloom.llm.common import BATCH, crc_mod, stored, table
-
-#: Rows that Python tasks of the pipeline get at a time: texts can be long.
-ROWS = "1000"
+from claimloom.llm.common import crc_mod, stored, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
-    spark.conf.set(BATCH, ROWS)
+    """Documents that the quality classifier doesn't reject.
+
+    A null or empty text is scored like any other; repeated rows go or stay together.
+    """
     return quality.drop_poor(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest doc_id."""
-    spark.conf.set(BATCH, ROWS)
+    """Of equal texts, the one with the largest doc_id.
+
+    Null counts as empty, and a null doc_id is the smallest; of repeated rows one stays.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the one with the smallest doc_id."""
-    spark.conf.set(BATCH, ROWS)
+    """Of each class of near copies, the one with the smallest doc_id.
+
+    Rows without words or doc_id stay; equal rows stay or go together.
+    """
     return jaccard_join.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them."""
-    spark.conf.set(BATCH, ROWS)
+    """Documents as often as their source's target takes them.
+
+    A text without words (null, empty) is taken by no target; a null source is one of its own.
+    """
     return mixing.repeat_documents(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of each document, as digests."""
-    spark.conf.set(BATCH, ROWS)
-    return bpe.digests(docs)
+    """doc_id, the token ids of each document, their number, and digests of them and of the text that they decode to.
+
+    A null or empty text has no ids; repeated rows give equal rows.
+    """
+    return bpe.digests(docs, ids=True)
 
 
 STAGES = [
