@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import stored
+from claimloom.llm.common import dropped, stored
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -26,12 +26,14 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         pairs = _both(now)
         least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         # large star: larger neighbours move to the smallest one
-        now = pairs.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        now = stored(now, "links")
+        large = pairs.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = stored(large, "links")
+        dropped(now, least)
         # small star: a node and its smaller neighbours move to the smallest one
-        least = stored(now.groupBy("u").agg(F.min("v").alias("m")), "least")
-        moved = now.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         now = stored(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        dropped(large, least)
         after = now.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0))).first()
         if after == before:
             break

@@ -6,17 +6,20 @@ order, rare ones first. Two sets can only reach the threshold if their prefixes
 
 1. Documents with one prefix and size make a group, and groups are indexed by the
    shingles of their prefix; shingles that one group alone holds go.
-2. Group pairs that pass the size and position filters are expanded to members
-   (different sets; documents with equal sets are one member throughout) and
-   verified on whole sets.
-3. A list of a shingle need not be paired out: its members are verified against
-   the list's leader first, and linked ones are one class from then on. Only pairs
-   across classes are still open; these are filtered and verified likewise. So
-   every link between different texts that joins two classes is found, and a list
-   of n near copies costs n verifications.
+2. The groups of a shingle's list are paired with the list's leader, and group
+   pairs that fail the size and position filters go.
+3. Group pairs are expanded: members (different sets; documents with equal sets
+   are one member throughout) are verified on whole sets against a member of the
+   leader, and within a group against its first member. Linked ones are one class
+   from then on.
+4. What is still open are pairs of one list in different classes. They are paired
+   as groups of a class, filtered, expanded and verified likewise; long lists are
+   dealt to several tasks. So every link between different texts that joins two
+   classes is found, and a list of n near copies costs n verifications.
 
 The order comes from counts of all shingles of all documents, hashed to SLOTS
-counters: a fixed size, broadcast as one byte each. It decides how much work is
+counters: a fixed size, broadcast as one byte each. A counter's excess over the
+median tells frequent shingles at any load. The order decides how much work is
 left, never what is found.
 
 Defined cases: a null text is empty; a document without words has an empty set
@@ -37,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import as_bytes, doc_word_hashes, grams, held_names, mix64, partitions, signed, stored, table
+from claimloom.llm.common import as_bytes, doc_word_hashes, dropped, free_name, grams, held_names, mix64, partitions, signed, stored, table
 from claimloom.llm.components import components
 
 WORDS = 5
@@ -50,6 +53,10 @@ PART = 1 << 14
 LIST = 1 << 16
 #: Bits of the sieve of wanted documents.
 SIEVE = 1 << 25
+#: Entries of a list that meet in one task while pairs are formed.
+SALT = 1 << 12
+#: Postings that a task looks at at a time.
+BUNCH = 1 << 20
 #: Pairs of sets that a task verifies at a time.
 PAIRS = 100
 #: Seeds of a set's two digests; the first is its node.
@@ -71,7 +78,7 @@ def _slots(s: np.ndarray) -> np.ndarray:
 
 
 def shingle_ranks(docs: DataFrame) -> np.ndarray:
-    """One byte for each slot: about 4 log2 of the shingles that hash to it."""
+    """One byte for each slot: about 4 log2 of how many more shingles than usual hash to it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, dtype=np.uint32)
@@ -88,7 +95,8 @@ def shingle_ranks(docs: DataFrame) -> np.ndarray:
         total = np.zeros(PART, dtype=np.uint64)
         for x in pdf["counts"]:
             total += np.frombuffer(loosen.decompress(x), dtype=np.uint32)
-        ranks = np.minimum(4 * np.log2(total + 1.0), 255).astype(np.uint8)
+        more = np.maximum(total.astype(np.float64) - np.median(total), 0)
+        ranks = np.minimum(4 * np.log2(more + 1.0), 255).astype(np.uint8)
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "ranks": [ranks.tobytes()]})
 
     counted = docs.select("text").mapInArrow(count, "part int, counts binary")
@@ -164,18 +172,33 @@ _POSTING = "shingle long, group long, n int, at int"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's postings, those whose shingle another group holds too."""
-    rows = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-    if rows is None:
-        return
-    shingle, group = np.asarray(rows["shingle"]), np.asarray(rows["group"])
-    order = np.lexsort((group, shingle))
-    s, g = shingle[order], group[order]
-    fresh = np.r_[True, (s[1:] != s[:-1]) | (g[1:] != g[:-1])]
-    order, s = order[fresh], s[fresh]
-    _, back, n = np.unique(s, return_inverse=True, return_counts=True)
-    keep = order[(n[back.ravel()] > 1) | np.asarray(rows["split"])[order]]
-    yield from rows.select(["shingle", "group", "n", "at"]).take(pa.array(np.sort(keep))).combine_chunks().to_batches(100_000)
+    """Of postings sorted by deal, those whose shingle another group holds too."""
+
+    def some(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not rows.num_rows:
+            return
+        shingle, group = np.asarray(rows["shingle"]), np.asarray(rows["group"])
+        order = np.lexsort((group, shingle))
+        s, g = shingle[order], group[order]
+        fresh = np.r_[True, (s[1:] != s[:-1]) | (g[1:] != g[:-1])]
+        order, s = order[fresh], s[fresh]
+        _, back, n = np.unique(s, return_inverse=True, return_counts=True)
+        keep = order[(n[back.ravel()] > 1) | np.asarray(rows["split"])[order]]
+        yield from rows.select(["shingle", "group", "n", "at"]).take(pa.array(np.sort(keep))).combine_chunks().to_batches(100_000)
+
+    wait, size = [], 0
+    for batch in batches:
+        wait.append(batch)
+        size += batch.num_rows
+        if size >= BUNCH:  # whole deals only
+            rows = pa.Table.from_batches(wait)
+            deal = np.asarray(rows["deal"])
+            cut = int(np.searchsorted(deal, deal[-1]))
+            yield from some(rows.slice(0, cut))
+            rows = rows.slice(cut).combine_chunks()
+            wait, size = rows.to_batches(), rows.num_rows
+    if wait:
+        yield from some(pa.Table.from_batches(wait))
 
 
 def _may_link(x: str, y: str):
@@ -208,8 +231,8 @@ def _sieve(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, set (its sorted hashes) of the wanted (doc_id, node).
+def _sets(docs: DataFrame, wanted: DataFrame, put) -> DataFrame:
+    """node, set (its sorted hashes) of the wanted (doc_id, node); put stores texts in between.
 
     Texts that a sieve of fixed size shows to be unwanted aren't shuffled; the
     join drops the rest.
@@ -233,7 +256,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     known = docs.filter("doc_id IS NOT NULL").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("bit"), "text")
     texts = known.mapInArrow(pack, "doc_id long, packed binary").join(wanted, "doc_id")
     # stored in between: no stage then keeps two Python workers for a task
-    return stored(texts, "wanted-texts").mapInArrow(unpack, "node long, set binary")
+    return put(texts, "wanted-texts").mapInArrow(unpack, "node long, set binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -261,52 +284,69 @@ def _classed(docs: DataFrame) -> DataFrame:
     ranks = spark.sparkContext.broadcast(shingle_ranks(docs))  # SLOTS bytes
     rows = stored(prefixes(docs, ranks), "prefixes")
 
+    scratch: list[DataFrame] = []
+
+    def put(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
+        scratch.append(stored(df, name, batch_rows))
+        return scratch[-1]
+
     # members: one document for each different set
     members = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("group", "n", F.col("one").alias("node"), "two").agg(F.min("doc_id").alias("doc_id"))
-    members = stored(members, "members")
+    members = put(members, "members")
     dealt = rows.filter("prefix IS NOT NULL").select("group", "n", "prefix").mapInArrow(_postings(ranks), f"deal long, split boolean, {_POSTING}")
-    lists = stored(dealt.repartition(partitions(spark), "deal").mapInArrow(_shared, _POSTING), "lists", 10_000)
-
-    # expanded: members in place of groups; a group of several is a list of its own
-    several = members.groupBy("group").agg(F.count("*").alias("k")).filter("k > 1").select("group")
-    own = members.join(several, "group").select(F.xxhash64("group").alias("shingle"), "node", "n", F.lit(0).alias("at"))
-    lists = lists.join(members.select("group", "node"), "group").select("shingle", "node", "n", "at")
-    lists = stored(lists.union(own), "member-lists")
-    leaders = lists.groupBy("shingle").agg(F.min(F.struct("at", "n", "node")).alias("l"), F.count("*").alias("k")).filter("k > 1")
-    leaders = stored(leaders.select("shingle", F.col("l.node").alias("u_node"), F.col("l.n").alias("u_n"), F.col("l.at").alias("u_at")), "leaders")
-
-    starred = _named(lists, "v", "node", "n", "at").join(leaders, "shingle").filter(F.col("u_node") != F.col("v_node")).filter(_may_link("u", "v"))
-    star = stored(starred.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct(), "star")
-    wanted = stored(star.select("u").union(star.select("v")).distinct().select(F.col("u").alias("node")), "wanted")
+    lists = put(dealt.repartition(partitions(spark), "deal").sortWithinPartitions("deal").mapInArrow(_shared, _POSTING), "lists", 10_000)
+
+    # pairs of groups: each group of a list with the list's leader
+    heads = put(members.groupBy("group").agg(F.min("node").alias("head"), F.first("n").alias("n"), F.count("*").alias("k")), "heads")
+    leaders = lists.groupBy("shingle").agg(F.min(F.struct("at", "n", "group")).alias("l"), F.count("*").alias("k")).filter("k > 1")
+    leaders = leaders.select("shingle", F.col("l.group").alias("u_group"), F.col("l.n").alias("u_n"), F.col("l.at").alias("u_at"))
+    leaders = put(leaders.join(heads.select(F.col("group").alias("u_group"), F.col("head").alias("u")), "u_group"), "leaders")
+    paired = _named(lists, "v", "group", "n", "at").join(leaders, "shingle").filter("u_group <> v_group").filter(_may_link("u", "v"))
+    paired = put(paired.select("u", F.col("v_group").alias("group")).distinct(), "group-pairs")
+
+    # expanded to members, and verified
+    several = members.join(heads.filter("k > 1").select("group", F.col("head").alias("u")), "group").filter("node <> u")
+    star = paired.join(members.select("group", "node"), "group").select("u", F.col("node").alias("v")).union(several.select("u", F.col("node").alias("v")))
+    star = put(star.distinct(), "star")
+    wanted = put(star.select("u").union(star.select("v")).distinct().select(F.col("u").alias("node")), "wanted")
     ids = members.select("doc_id", "node")
-    sets = stored(_sets(docs, stored(ids.join(wanted, "node"), "wanted-ids")), "sets")
-    links = stored(_verified(star, sets), "links", PAIRS)
-    roots = stored(components(links), "roots")
-
-    # what is still open: pairs of one list in different classes
-    lists = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lists = stored(lists, "classed-lists")
-    leaders = leaders.join(roots.select(F.col("node").alias("u_node"), F.col("root").alias("u_root")), "u_node", "left")
-    leaders = stored(leaders.select("shingle", F.coalesce("u_root", "u_node").alias("l_root")), "classed-leaders")
-    other = stored(_named(lists, "u", "node", "n", "at", "root").join(leaders, "shingle").filter(F.col("u_root") != F.col("l_root")).drop("l_root"), "others")
-    mixed = _named(lists, "v", "node", "n", "at", "root").join(stored(other.select("shingle").distinct(), "mixed"), "shingle", "left_semi")
-    opened = other.join(mixed, "shingle").filter(F.col("u_root") != F.col("v_root")).filter(_may_link("u", "v"))
-    opened = opened.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
+    sets = put(_sets(docs, put(ids.join(wanted, "node"), "wanted-ids"), put), "sets")
+    links = put(_verified(star, sets), "links", PAIRS)
+    roots = put(components(links), "roots")
+
+    # what is still open: pairs of one list in different classes, as groups of a class first
+    classed = put(members.join(roots, "node", "left").select("group", "node", F.coalesce("root", "node").alias("root")), "classed")
+    own = heads.filter("k > 1").select(F.xxhash64("group").alias("shingle"), "group", "n", F.lit(0).alias("at"))
+    lists = lists.union(own).join(classed.select("group", "root").distinct(), "group")
+    lists = put(lists, "classed-lists")
+    first = lists.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).filter("low <> high")
+    mixed = put(first.select("shingle", F.col("low").alias("l_root"), F.ceil(F.col("k") / SALT).cast("int").alias("parts")), "mixed")
+    lists = lists.join(mixed, "shingle")
+    salt = F.pmod(F.xxhash64("group", "root"), F.col("parts")).cast("int")
+    every = _named(lists.withColumn("salt", salt), "v", "salt", "group", "n", "at", "root").withColumnRenamed("v_salt", "salt")
+    other = lists.filter(F.col("root") != F.col("l_root")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    other = _named(other, "u", "salt", "group", "n", "at", "root").withColumnRenamed("u_salt", "salt")
+    opened = other.join(every, ["shingle", "salt"]).filter("u_root <> v_root").filter(_may_link("u", "v"))
+    opened = put(opened.select("u_group", "u_root", "v_group", "v_root").distinct(), "open-groups")
+    side = lambda x: classed.select(F.col("group").alias(f"{x}_group"), F.col("root").alias(f"{x}_root"), F.col("node").alias(x))
+    opened = opened.join(side("u"), ["u_group", "u_root"]).join(side("v"), ["v_group", "v_root"])
+    opened = opened.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     done = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    opened = stored(opened.join(done, ["u", "v"], "left_anti"), "open")
+    opened = put(opened.join(done, ["u", "v"], "left_anti"), "open")
     if not opened.isEmpty():
         more = opened.select("u").union(opened.select("v")).distinct().select(F.col("u").alias("node"))
-        more = stored(more.join(wanted, "node", "left_anti").join(ids, "node"), "more")
+        more = put(more.join(wanted, "node", "left_anti").join(ids, "node"), "more")
         if not more.isEmpty():
-            sets = sets.union(stored(_sets(docs, more), "more-sets"))
-        links = links.union(stored(_verified(opened, sets), "more-links", PAIRS))
-        roots = stored(components(links), "roots")
+            sets = sets.union(put(_sets(docs, more, put), "more-sets"))
+        links = links.union(put(_verified(opened, sets), "more-links", PAIRS))
+        roots = put(components(links), "roots")
 
     known = members.join(roots, "node", "left").select("node", "two", "n", "doc_id", F.coalesce("root", "node").alias("root"))
-    known = stored(known, "classes")
+    known = put(known, "classes")
     first = F.min(F.struct("doc_id", "node"))
-    least = stored(known.groupBy("root").agg(first["doc_id"].alias("component_id"), first["node"].alias("lead")), "least")
+    least = put(known.groupBy("root").agg(first["doc_id"].alias("component_id"), first["node"].alias("lead")), "least")
     known = stored(known.join(least, "root").select(F.col("node").alias("one"), "two", "n", "component_id", "lead"), "known")
+    dropped(*scratch)
     out = rows.select("doc_id", "mark", "n", "one", "two").join(known, ["one", "two", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "mark", "one", F.col("n").cast("long").alias("n"), component.alias("component_id"), "lead")
@@ -327,8 +367,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     # texts of one doc_id with equal sets: one of them stays
     stay = rows.filter("stays").groupBy("doc_id", "one").agg(F.min("mark").alias("mark")).select("doc_id", "mark")
     gone = stored(rows.select("doc_id", "mark").join(stay, ["doc_id", "mark"], "left_anti").distinct(), "near-copies")
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
-    return docs.join(gone.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), same, "left_anti").select(*docs.columns)
+    own_id, own_mark = (free_name(x, *docs.columns) for x in ("_id", "_mark"))
+    same = (F.col("doc_id").cast("long") == F.col(own_id)) & (F.xxhash64("text") == F.col(own_mark))
+    return docs.join(gone.select(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark)), same, "left_anti").select(*docs.columns)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
