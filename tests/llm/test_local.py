@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from claimloom.llm import bpe, chat, common, exact_dedup, rules, substring_dedup, toxicity
+from claimloom.llm import bpe, chat, common, exact_dedup, quality, substring_dedup, toxicity
 
 ALPHABET = [*"aabcdeéèñß 'stnΣσς<|>\t\n\x1c\x85　İ1٣中🎉́!?", "'s", "'re", "<|endoftext|>", "the", "haha"]
 said = st.lists(st.sampled_from([*"ab\\<>|/[]\n", "<|end|>", "<|turn|>", "</s>", "[INST]", "[/INST]"]), max_size=12).map("".join)
@@ -38,7 +38,7 @@ def test_compatible_pairs_are_those_that_merging_keeps(codec):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "<|end|>"]), said), max_size=5))
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "<|end|>", "a\nb", "\\n"]), said), max_size=5))
 def test_chat_reads_back(turns):
     formatted, mask = chat.render(turns)
     assert chat.read_back(formatted) == turns
@@ -88,20 +88,121 @@ def test_cuckoo_index_against_a_set():
         assert (index.find(pool) >= 0).tolist() == [tuple(k) in live for k in pool.tolist()]
 
 
-def test_kneser_ney_sums_to_one():
-    text = (b"the cat sat on the mat. " * 40) + bytes(random.Random(2).choices(b"abcdefgh ", k=4000))
-    keys, n = np.unique(rules.hashes(text), return_counts=True)
-    model = rules.Model(rules.kneser_ney(keys, n))
-    model._spread()
-    p = np.exp(model.top.astype(np.float64)).reshape(-1, 64)
-    seen = np.unique(keys >> 6)
-    assert np.allclose(p[seen].sum(axis=1), 1, atol=1e-3)
-    assert model.log_perplexity(b"the cat sat on the mat.") < model.log_perplexity(b"zq#xv jjw qqz!")
-
-
 def test_folding_and_matching():
     assert toxicity.fold("Ѕtupid 1d10t!! $cum 2024 café") == " stupid idiot scum cafe "
     automaton = toxicity.matcher({" idio": 3.0, " loser ": 2.0})
     assert [w for _, _, w in toxicity.hits(automaton, " idiot a loser losers loser ")] == [3.0, 2.0, 2.0]
-    clean = toxicity.features(automaton, {" sore loser "}, " a sore loser ")
-    assert clean[1] == 0.0
+    assert toxicity.live_hits(automaton, {" sore loser "}, " a sore loser ") == []
+
+
+def naive_hits(lexicon, folded):
+    """Leftmost, longest, not overlapping, by looking at every place."""
+    out, at = [], 0
+    while at < len(folded):
+        found = [k for k in lexicon if folded.startswith(k, at)]
+        if found:
+            best = max(found, key=len)
+            out.append((at, at + len(best), lexicon[best]))
+            at += len(best) - 1
+        else:
+            at += 1
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "ab", "abc", "b", "ba"]), max_size=12), st.sets(st.sampled_from([" a", " ab", " ab ", " b ", " abc", " ba"]), min_size=1))
+def test_matching_equals_brute_force(words, entries):
+    folded = " " + " ".join(words) + " "
+    lexicon = {k: float(n) for n, k in enumerate(sorted(entries), 1)}
+    assert toxicity.hits(toxicity.matcher(lexicon), folded) == naive_hits(lexicon, folded)
+
+
+def bags(rng, n=4):
+    counts = rng.integers(1, 5, n)
+    return rng.normal(size=(counts.sum(), quality.N_FEATURES)), counts, rng.integers(0, 2, n).astype(float)
+
+
+def test_attention_equals_brute_force():
+    rng = np.random.default_rng(3)
+    x, counts, _ = bags(rng)
+    model = quality.GatedAttention()
+    p, want, at = model.p, [], 0
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for n in counts:
+        z = np.tanh(np.clip(x[at : at + n], -6, 6) @ p["E"] + p["e"])
+        weight = [float(np.exp((np.tanh(k @ p["V"]) * sigmoid(k @ p["U"])) @ p["w"])[0]) for k in z]
+        mean = sum(w * k for w, k in zip(weight, z, strict=True)) / sum(weight)
+        want.append(float(sigmoid(mean @ p["o"] + p["b"])[0]))
+        at += n
+    assert np.allclose(model.predict(x, counts), want, atol=1e-5)
+
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(4)
+    x, counts, y = bags(rng)
+    model = quality.GatedAttention()
+    starts, bag = np.r_[0, np.cumsum(counts)[:-1]], np.repeat(np.arange(len(counts)), counts)
+
+    def loss():
+        p = model._forward(x, starts, bag)["y"]
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    got = model._gradient(x, starts, bag, y)
+    for name, v in model.p.items():
+        for k in {tuple(int(rng.integers(0, n)) for n in v.shape) for _ in range(4)}:
+            old = v[k]
+            v[k] = old + 1e-5
+            up = loss()
+            v[k] = old - 1e-5
+            down = loss()
+            v[k] = old
+            assert abs((up - down) / 2e-5 - got[name].reshape(v.shape)[k]) < 1e-6, name
+
+
+def test_fit_takes_every_passage_of_long_documents():
+    rng = np.random.default_rng(5)
+    counts = np.array([3000, 1, 2, 1500, 4, 1] * 4)
+    y = np.arange(len(counts)) % 2.0
+    x = rng.normal(size=(counts.sum(), quality.N_FEATURES)).astype(np.float16)
+    x[:, 0] += np.repeat(3 * y, counts)
+    model = quality.GatedAttention()
+    model.fit(x, counts, y, epochs=60)
+    assert np.allclose(model.mean, x.astype(np.float64).mean(axis=0))
+    assert ((model.predict(x, counts) > 0.5) == (y > 0)).all()
+
+
+def test_remembered_words_of_two_generations(monkeypatch, codec):
+    monkeypatch.setattr(bpe, "REMEMBERED", 2000)
+    own = bpe.Codec(bpe.default_path())
+    rng = random.Random(8)
+    said = [" ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 6))) for _ in range(30)) for _ in range(40)]
+    assert [own.encode([t])[0] for t in said] == codec.encode(said)
+    assert len(own.chunks.new) < 60
+
+
+def test_other_tokenizer_files_are_refused():
+    import public_tokenizers
+
+    with pytest.raises((ValueError, KeyError, TypeError)):
+        bpe.Codec(str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def test_greedy_factors():
+    w = substring_dedup.WINDOW
+    runs = [{"start": 5, "n": 10, "s_one": 1, "s_two": 2, "s_start": 100}, {"start": 15, "n": 4, "s_one": 1, "s_two": 2, "s_start": 110}, {"start": 30, "n": 20, "s_one": 3, "s_two": 4, "s_start": 0}]
+    found, gone = substring_dedup.factors(100, runs)
+    # the second run goes on where the first one ends; all windows of the third start inside that factor
+    assert found == [(5, 14 + w - 1, (1, 2), 100)]
+    assert np.flatnonzero(gone).tolist() == list(range(5, 50 + w - 1))
+    later = substring_dedup.factors(200, [*runs[:2], {"start": 50, "n": 20, "s_one": 3, "s_two": 4, "s_start": 7}])[0]
+    assert later == [(5, 14 + w - 1, (1, 2), 100), (53, 17 + w - 1, (3, 4), 10)]
+    assert substring_dedup.factors(3, [])[0] == [] and not substring_dedup.factors(0, [])[1].size
+
+
+def test_long_texts_are_hashed_like_short_ones(monkeypatch):
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choices("abcé", k=rng.randint(1, 30))) for _ in range(3000)).encode()
+    whole = common.word_hashes(text)
+    monkeypatch.setattr(common, "PIECE", 100)
+    assert (common.word_hashes(text) == whole).all()
+    assert (next(iter(common.doc_word_hashes([text]))) == whole).all()
