@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,11 +63,37 @@ PILLARS = (
 )
 
 
+def openings(pattern: str) -> list[str] | None:
+    """What a text that matches must contain one of: the letters that each
+    alternative of the pattern starts with. None where that can't be told."""
+    found = re.fullmatch(r"\\b\(\?:(.*?)\)(?:\\b|\[.*)", pattern)
+    if not found:
+        return None
+    starts, depth, at = [0], 0, 0
+    body = found[1]
+    for at, c in enumerate(body):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            starts.append(at + 1)
+    heads = [re.match(r"[a-z]*", body[k:])[0] for k in starts]
+    # a letter that may be left out is no part of it
+    heads = [h[:-1] if body[k + len(h) : k + len(h) + 1] == "?" else h for k, h in zip(starts, heads, strict=True)]
+    return sorted(set(heads)) if all(heads) else None
+
+
 def with_signals(docs: DataFrame, families=FAMILIES) -> DataFrame:
-    """Adds one array of found signals for each family."""
-    low = F.lower("text")
-    found = {f"{name}_signals": F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(k)) for p, k in patterns))) for name, patterns in families.items()}
-    return docs.withColumns(found)
+    """Adds one array of found signals for each family.
+
+    A pattern only runs on texts that hold the opening of one of its alternatives."""
+    low = F.col("_low")
+
+    def signal(pattern: str, kind: str) -> F.Column:
+        heads = openings(pattern)
+        hit = low.rlike(pattern)
+        return F.when(contains_any(low, heads) & hit if heads else hit, F.lit(kind))
+
+    docs = docs.withColumn("_low", F.lower("text"))
+    return docs.withColumns({f"{name}_signals": F.array_compact(F.array(*(signal(p, k) for p, k in patterns))) for name, patterns in families.items()}).drop("_low")
 
 
 def classify_content(docs: DataFrame, families=FAMILIES) -> DataFrame:
@@ -102,7 +130,7 @@ def accept_policy(classified: DataFrame) -> DataFrame:
 
 
 def classify_pages(pages: DataFrame) -> DataFrame:
-    """Adds page_type from text and file name, an ordered CASE."""
+    """Adds page_type from text and file name, an ordered CASE; unknown without text."""
     low, name = F.lower(F.coalesce("text", F.lit(""))), F.lower(F.coalesce("source_file", F.lit("")))
     has = lambda *p: contains_any(low, p)
     # The phrases of each type.
@@ -113,7 +141,8 @@ def classify_pages(pages: DataFrame) -> DataFrame:
         | (name.contains("policy") & ~has("tax invoice", "discharge summary", "chief complaints", "investigation charges", "lab report"))
     )
     kind = (
-        F.when(policy, "insurance_policy")
+        F.when(F.trim(low) == "", "unknown")
+        .when(policy, "insurance_policy")
         .when(has("first information report", "police station", "incident report", "report number: fir", "theft of travel", "police seal"), "incident_document")
         .when(has("pathology laboratory", "radiology ultrasound", "diagnostic ultrasound scan report", "pathology report"), "medical_report")
         .when(has("hospital medical bill", "final inpatient tax invoice", "pharmacy tax invoice", "official settlement & payment receipt", "tax invoice & cov-002"), "medical_bill")

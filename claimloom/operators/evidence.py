@@ -26,12 +26,17 @@ MISSING_STATUS = ("missing", "not_found", "unfulfilled", "pending", "required",
 
 
 def extract_requirements(pages: DataFrame, keywords: Sequence[str] = lexicon.REQUIREMENT_WORDS, excluded: Sequence[str] = lexicon.REQUIREMENT_EXCLUDED) -> DataFrame:
-    """claim_id, sr_no, document_title, reason from the clauses of policy pages.
+    """claim_id, sr_no, document_title, reason from the clauses of policy pages,
+    then from their conditions and from the text of their claims section.
 
     The first line of a title (in lower case) counts; numbers follow line order.
     """
-    own = pages.filter((F.col("document_type") == "insurance_policy") & F.col("policy_clauses").isNotNull())
-    lines = own.select("claim_id", "page_seq", F.posexplode(F.flatten(F.transform("policy_clauses", lambda c: F.split(c, r"[\n\r;]+")))).alias("at", "raw"))
+    none = F.array().cast("array<string>")
+    held = [F.coalesce(c, none) for c in ("policy_clauses", "relevant_conditions") if c in pages.columns]
+    if "policy_relevant_text" in pages.columns:
+        held.append(F.when(text("policy_relevant_text").isNotNull(), F.array("policy_relevant_text")).otherwise(none))
+    own = pages.filter(F.col("document_type") == "insurance_policy")
+    lines = own.select("claim_id", "page_seq", F.posexplode(F.flatten(F.transform(F.concat(*held), lambda c: F.split(c, r"[\n\r;]+")))).alias("at", "raw"))
     lines = lines.select("claim_id", "page_seq", "at", requirement_line("raw").alias("reason"), requirement_title("raw").alias("document_title"))
     low = F.lower("reason")
     keep = (F.length("reason") >= 4) & contains_any(low, keywords) & ~contains_any(low, excluded) & ~contains_any(F.lower("document_title"), lexicon.TITLE_EXCLUDED)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimloom.operators import consistency, evidence, telemetry, validate, validity, verdict
 from claimloom.plans import oracles as o
 from claimloom.sources.fixtures import load
+from claimloom.sources.scratch import bucketed
 
 QUERIES = {}
 SQL = {}
@@ -164,9 +165,9 @@ def o64(s: SparkSession, d: str) -> DataFrame:
 
 
 def status_of(s: SparkSession, d: str) -> DataFrame:
-    """Everything the verdict needs. The pages are dealt by claim once; the
-    checks group and join on that key, so they share the exchange."""
-    pages, claims = load(s, d, "pages").repartition("claim_id"), load(s, d, "claims")
+    """Everything the verdict needs. The pages are written once, in buckets of a
+    claim; the checks group and join on that key and shuffle them no more."""
+    pages, claims = bucketed(load(s, d, "pages"), "claim_id", "claim_pages"), load(s, d, "claims")
     return verdict.status_inputs(
         claims, pages, validate.validation_rollup(validate.validate_pages(validate.fill_context(pages))), validity_of(pages, claims),
         consistency.consistency_rollup(consistency.discrepancies(pages), claims), evidence.evidence_summary(matches_of(pages)),

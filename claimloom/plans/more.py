@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from claimloom.plans import oracles as o
 from claimloom.plans.core import joined, matches_of, query, status_of
 from claimloom.sources import fixtures, ingest
 from claimloom.sources.fixtures import load
+from claimloom.sources.scratch import new_path
 from claimloom.streaming import events as streams
 
 # --- page text: labelled lines made of derived fields, alike in both engines
@@ -314,12 +313,21 @@ def o77(s: SparkSession, d: str) -> DataFrame:
     return telemetry.recent(log_of(s, d), 12, F.desc("id")).select("claim_id", "id", "tool_name")
 
 
-@query("o29_audit_prerequisites", o.query([o.LOG], """SELECT claim_id, id, lacking FROM (SELECT *, CASE WHEN failed THEN NULL WHEN NOT v THEN 'document_validation' WHEN NOT d THEN 'validity_checker' WHEN NOT m THEN 'missing_document_detector' END AS lacking FROM (
-  SELECT *, coalesce(bool_or(tool_name = 'document_validation') OVER w, false) AS v, coalesce(bool_or(tool_name = 'validity_checker') OVER w, false) AS d, coalesce(bool_or(tool_name = 'missing_document_detector') OVER w, false) AS m,
-    coalesce(bool_or(tool_name IN ('document_validation', 'validity_checker') AND NOT success) OVER w, false) AS failed
-  FROM log WINDOW w AS (PARTITION BY claim_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) WHERE tool_name = 'claim_preparation' AND lacking IS NOT NULL"""))
+#: What a step of the log knows of its claim's pages, made up from its key alike in both engines.
+_STEPS = "steps AS (SELECT *, cast(substr(claim_id, 2) as bigint) % 3 AS page_count, CASE WHEN tool_name = 'document_validation' THEN id % 2 END AS valid_pages FROM log)"
+
+
+@query("o29_audit_prerequisites", o.query([o.LOG, _STEPS], """SELECT claim_id, id, lacking FROM (
+  SELECT *, CASE WHEN tool_name = 'claim_preparation' THEN CASE WHEN page_count = 0 THEN 'document_extraction' WHEN (v = false AND n = 0) OR d = false THEN NULL ELSE gap END
+                 WHEN tool_name IN ('request_user_info', 'ask_user') AND page_count > 0 THEN CASE WHEN v = false OR n = 0 OR d = false OR c = false THEN NULL ELSE gap END END AS lacking FROM (
+    SELECT *, CASE WHEN v IS NULL THEN 'document_validation' WHEN d IS NULL THEN 'validity_checker' WHEN m IS NULL THEN 'missing_document_detector' WHEN c IS NULL AND page_count > 1 THEN 'cross_document_consistency_check' END AS gap FROM (
+      SELECT *, arg_max(success, id) FILTER (WHERE tool_name = 'document_validation') OVER w AS v, arg_max(valid_pages, id) FILTER (WHERE tool_name = 'document_validation') OVER w AS n,
+        arg_max(success, id) FILTER (WHERE tool_name = 'validity_checker') OVER w AS d, arg_max(success, id) FILTER (WHERE tool_name = 'missing_document_detector') OVER w AS m,
+        arg_max(success, id) FILTER (WHERE tool_name = 'cross_document_consistency_check') OVER w AS c
+      FROM steps WINDOW w AS (PARTITION BY claim_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))) WHERE lacking IS NOT NULL"""))
 def o29(s: SparkSession, d: str) -> DataFrame:
-    return verdict.audit_prerequisites(log_of(s, d))
+    log = log_of(s, d).withColumn("page_count", F.expr("cast(substr(claim_id, 2) as bigint) % 3")).withColumn("valid_pages", F.expr("CASE WHEN tool_name = 'document_validation' THEN id % 2 END"))
+    return verdict.audit_prerequisites(log)
 
 
 # --- search and views
@@ -390,7 +398,15 @@ def _first(c: str, x: str | None = None) -> str:
     return f"arg_min({x}, page_seq) FILTER (WHERE {x} IS NOT NULL) AS {c}"
 
 
-_FACTS = "facts AS (SELECT claim_id, " + ", ".join(_first(c) for c in ("patient_name", "policy_number", "hospital_name", "bill_amount")) + ", " + _first("discharge_date", f"CASE WHEN contains(lower(document_title), 'discharge') THEN {o.t('document_date')} END") + " FROM pages GROUP BY claim_id)"
+_FACTS = "facts AS (SELECT claim_id, " + ", ".join(_first(c) for c in ("patient_name", "policy_number", "hospital_name", "bill_amount")) + ", " + _first("discharge_date", f"CASE WHEN contains(lower(document_title), 'discharge') OR contains(lower(document_title), 'summary') THEN {o.t('document_date')} END") + " FROM pages GROUP BY claim_id)"
+
+
+@query("o27_field_view", o.query([o.PAGES, _FIELDS, _FACTS], """SELECT claim_id, field_name, field_value, count(*) AS n FROM (SELECT claim_id, field_name, field_value FROM fields UNION ALL
+  SELECT claim_id, 'discharge_date', discharge_date FROM facts WHERE discharge_date IS NOT NULL) GROUP BY ALL"""))
+def o27_view(s: SparkSession, d: str) -> DataFrame:
+    pages = load(s, d, "pages")
+    facts = search.claim_facts(pages).select("claim_id", "patient_name", "discharge_date")
+    return search.field_view(search.page_fields(pages), facts).groupBy("claim_id", "field_name", "field_value").agg(F.count("*").alias("n"))
 
 
 @query("o66_claim_facts", o.query([o.PAGES, _FACTS], "SELECT * FROM facts"))
@@ -511,7 +527,7 @@ def o83(s: SparkSession, d: str) -> DataFrame:
 
 @query("o01_read_bundles")
 def o01(s: SparkSession, d: str) -> DataFrame:
-    return ingest.read_bundles(s, d).select("source_file", "length", "file_seq")
+    return ingest.read_bundles(s, d, None).select("source_file", "length", "file_seq")
 
 
 @query("o02_quarantine")
@@ -535,10 +551,7 @@ def events_of(s: SparkSession, d: str) -> DataFrame:
 @query("o80_tail_events", o.query([_EVENTS], "SELECT claim_id, type, iteration, tool_name, duration FROM ev"))
 def o80(s: SparkSession, d: str) -> DataFrame:
     """The events table as a stream, run to its end into Parquet."""
-    import tempfile
-
-    root = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{root.rstrip('/')}/claimloom/tail-{uuid.uuid4().hex}"
+    path = new_path(s, "tail")
     events_of(s, d).write.parquet(f"{path}/in")
     streams.run_to_end(streams.tail_events(s, f"{path}/in"), f"{path}/out", f"{path}/state")
     return s.read.schema(streams.SCHEMA).parquet(f"{path}/out").select("claim_id", "type", "iteration", "tool_name", "duration")
@@ -559,7 +572,7 @@ def o86(s: SparkSession, d: str) -> DataFrame:
     return streams.dedup_tool_log(events_of(s, d)).select("claim_id", "iteration")
 
 
-@query("o87_run_end", o.query([_EVENTS], "SELECT claim_id, epoch_us(min(ts)) AS started_us, count(*) AS n_events, bool_or(type = 'complete') AS completed FROM (SELECT *, sum(new) OVER (PARTITION BY claim_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY claim_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ev)) GROUP BY claim_id, run"))
+@query("o87_run_end", o.query([_EVENTS], "SELECT claim_id, epoch_us(min(ts)) AS started_us, count(*) AS n_events, bool_or(type = 'complete') AS completed FROM (SELECT *, sum(new) OVER (PARTITION BY claim_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY claim_id ORDER BY ts) + INTERVAL 6 HOUR AND lag(type) OVER (PARTITION BY claim_id ORDER BY ts) <> 'complete' THEN 0 ELSE 1 END AS new FROM ev)) GROUP BY claim_id, run"))
 def o87(s: SparkSession, d: str) -> DataFrame:
     return streams.run_end(events_of(s, d), "6 hours").select("claim_id", F.unix_micros("started").alias("started_us"), "n_events", "completed")
 
