@@ -151,7 +151,8 @@ def token_counts(docs: DataFrame, path: str | None = None, block: int = BLOCK_TO
     names = written.select("file", "first", F.posexplode("ids").alias("k", "doc_id"))
     counts = scan(written.filter("n_bytes IS NOT NULL").select("file", "n_bytes"), folder, block=block)
     remove(spark, folder)  # what the scan found is stored
-    return names.select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # one row a document on both sides: never to be broadcast, however small the ids' file looks
+    return names.select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id").hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
