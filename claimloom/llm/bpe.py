@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import held_names, table
+from claimloom.llm.common import held_names, sliced, table
 
 #: Bytes, near enough, of the words (and of the chunks) of one generation that a task remembers.
 REMEMBERED = 3 << 24
@@ -300,7 +300,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [x or "" for x in batch["text"].to_pylist()]
             for a, b in _some(texts):
                 ids = codec(path).encode(texts[a:b])
@@ -334,7 +334,7 @@ def digests(docs: DataFrame, path: str | None = None, ids: bool = False) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [x or "" for x in batch["text"].to_pylist()]
             for a, b in _some(texts):
                 got = own.encode(texts[a:b])

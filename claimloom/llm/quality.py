@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import BLANK, crc_mod, doc_word_hashes, free_name, held_names, table
+from claimloom.llm.common import BLANK, as_bytes, crc_mod, doc_word_hashes, free_name, held_names, sliced, table
 from claimloom.llm.toxicity import labelled
 
 SAMPLE = 8_000
@@ -196,8 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, held: F.Column, sample: int = SAMPLE
     rows = labelled(docs, labels, "quality", held, sample)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.encode() for t in batch["text"].to_pylist()]
+        for batch in sliced(batches):
+            texts = as_bytes(batch["text"])
             for a, b in _groups(texts):
                 x, counts = passages(texts[a:b])
                 ends = np.cumsum(counts)
@@ -228,8 +228,8 @@ def score(docs: DataFrame, model: GatedAttention | Constant, carry: bool = False
     name = free_name("score", *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(t or "").encode() for t in batch["text"].to_pylist()]
+        for batch in sliced(batches):
+            texts = as_bytes(batch["text"])
             for a, b in _groups(texts):
                 p = np.round(sent.value.predict(*passages(texts[a:b])), 9)
                 yield pa.RecordBatch.from_arrays([*(batch[c][a:b] for c in kept), pa.array(p, pa.float64())], names=[*kept, name])
