@@ -231,8 +231,23 @@ def _sieve(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, put) -> DataFrame:
-    """node, set (its sorted hashes) of the wanted (doc_id, node); put stores texts in between.
+class _Scratch:
+    """Tables of one run, each dropped as soon as nothing reads it any more."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def put(self, df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
+        self.held.append(stored(df, name, batch_rows))
+        return self.held[-1]
+
+    def drop(self, *done: DataFrame) -> None:
+        dropped(*done)
+        self.held = [x for x in self.held if all(x is not y for y in done)]
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, scratch: _Scratch) -> DataFrame:
+    """node, set (its sorted hashes) of the wanted (doc_id, node), stored.
 
     Texts that a sieve of fixed size shows to be unwanted aren't shuffled; the
     join drops the rest.
@@ -256,7 +271,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, put) -> DataFrame:
     known = docs.filter("doc_id IS NOT NULL").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("bit"), "text")
     texts = known.mapInArrow(pack, "doc_id long, packed binary").join(wanted, "doc_id")
     # stored in between: no stage then keeps two Python workers for a task
-    return put(texts, "wanted-texts").mapInArrow(unpack, "node long, set binary")
+    texts = scratch.put(texts, "wanted-texts")
+    sets = scratch.put(texts.mapInArrow(unpack, "node long, set binary"), "sets")
+    scratch.drop(texts)
+    return sets
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -284,11 +302,8 @@ def _classed(docs: DataFrame) -> DataFrame:
     ranks = spark.sparkContext.broadcast(shingle_ranks(docs))  # SLOTS bytes
     rows = stored(prefixes(docs, ranks), "prefixes")
 
-    scratch: list[DataFrame] = []
-
-    def put(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
-        scratch.append(stored(df, name, batch_rows))
-        return scratch[-1]
+    scratch = _Scratch()
+    put, drop = scratch.put, scratch.drop
 
     # members: one document for each different set
     members = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("group", "n", F.col("one").alias("node"), "two").agg(F.min("doc_id").alias("doc_id"))
@@ -303,31 +318,36 @@ def _classed(docs: DataFrame) -> DataFrame:
     leaders = put(leaders.join(heads.select(F.col("group").alias("u_group"), F.col("head").alias("u")), "u_group"), "leaders")
     paired = _named(lists, "v", "group", "n", "at").join(leaders, "shingle").filter("u_group <> v_group").filter(_may_link("u", "v"))
     paired = put(paired.select("u", F.col("v_group").alias("group")).distinct(), "group-pairs")
+    drop(leaders)
 
     # expanded to members, and verified
     several = members.join(heads.filter("k > 1").select("group", F.col("head").alias("u")), "group").filter("node <> u")
     star = paired.join(members.select("group", "node"), "group").select("u", F.col("node").alias("v")).union(several.select("u", F.col("node").alias("v")))
     star = put(star.distinct(), "star")
+    drop(paired)
     wanted = put(star.select("u").union(star.select("v")).distinct().select(F.col("u").alias("node")), "wanted")
     ids = members.select("doc_id", "node")
-    sets = put(_sets(docs, put(ids.join(wanted, "node"), "wanted-ids"), put), "sets")
+    wanted_ids = put(ids.join(wanted, "node"), "wanted-ids")
+    sets = _sets(docs, wanted_ids, scratch)
+    drop(wanted_ids)
     links = put(_verified(star, sets), "links", PAIRS)
     roots = put(components(links), "roots")
 
     # what is still open: pairs of one list in different classes, as groups of a class first
     classed = put(members.join(roots, "node", "left").select("group", "node", F.coalesce("root", "node").alias("root")), "classed")
     own = heads.filter("k > 1").select(F.xxhash64("group").alias("shingle"), "group", "n", F.lit(0).alias("at"))
-    lists = lists.union(own).join(classed.select("group", "root").distinct(), "group")
-    lists = put(lists, "classed-lists")
-    first = lists.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).filter("low <> high")
+    ranked = put(lists.union(own).join(classed.select("group", "root").distinct(), "group"), "classed-lists")
+    drop(lists, heads)
+    first = ranked.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).filter("low <> high")
     mixed = put(first.select("shingle", F.col("low").alias("l_root"), F.ceil(F.col("k") / SALT).cast("int").alias("parts")), "mixed")
-    lists = lists.join(mixed, "shingle")
+    lists = ranked.join(mixed, "shingle")
     salt = F.pmod(F.xxhash64("group", "root"), F.col("parts")).cast("int")
     every = _named(lists.withColumn("salt", salt), "v", "salt", "group", "n", "at", "root").withColumnRenamed("v_salt", "salt")
     other = lists.filter(F.col("root") != F.col("l_root")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     other = _named(other, "u", "salt", "group", "n", "at", "root").withColumnRenamed("u_salt", "salt")
     opened = other.join(every, ["shingle", "salt"]).filter("u_root <> v_root").filter(_may_link("u", "v"))
     opened = put(opened.select("u_group", "u_root", "v_group", "v_root").distinct(), "open-groups")
+    drop(ranked, mixed)
     side = lambda x: classed.select(F.col("group").alias(f"{x}_group"), F.col("root").alias(f"{x}_root"), F.col("node").alias(x))
     opened = opened.join(side("u"), ["u_group", "u_root"]).join(side("v"), ["v_group", "v_root"])
     opened = opened.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -337,7 +357,7 @@ def _classed(docs: DataFrame) -> DataFrame:
         more = opened.select("u").union(opened.select("v")).distinct().select(F.col("u").alias("node"))
         more = put(more.join(wanted, "node", "left_anti").join(ids, "node"), "more")
         if not more.isEmpty():
-            sets = sets.union(put(_sets(docs, more, put), "more-sets"))
+            sets = sets.union(_sets(docs, more, scratch))
         links = links.union(put(_verified(opened, sets), "more-links", PAIRS))
         roots = put(components(links), "roots")
 
@@ -346,7 +366,7 @@ def _classed(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", "node"))
     least = put(known.groupBy("root").agg(first["doc_id"].alias("component_id"), first["node"].alias("lead")), "least")
     known = stored(known.join(least, "root").select(F.col("node").alias("one"), "two", "n", "component_id", "lead"), "known")
-    dropped(*scratch)
+    drop(*scratch.held)
     out = rows.select("doc_id", "mark", "n", "one", "two").join(known, ["one", "two", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "mark", "one", F.col("n").cast("long").alias("n"), component.alias("component_id"), "lead")
