@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,8 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 
-_rng = np.random.default_rng(0x5EED)
-BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 GRAM = np.uint64(0xD6E8FEB86659FD93)
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -106,50 +105,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, STEP, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+#: Bytes of words that are mixed in lanes of 8; longer words have a keyed BLAKE2b digest.
+LANED = 32
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
-_POWERS = _powers(1 << 12)
+def _hash_piece(codes: np.ndarray, seed: int) -> np.ndarray:
+    blank = BLANK[codes]
+    edge = np.diff(np.r_[True, blank, True].astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    size = ends - starts
+    out = mix64(size.astype(np.uint64) + np.uint64(seed) * STEP)
+    lanes = np.lib.stride_tricks.sliding_window_view(np.r_[codes, np.zeros(8, dtype=np.uint8)], 8)
+    for at in range(0, LANED, 8):
+        own = np.flatnonzero(size > at)
+        if not len(own):
+            break
+        lane = np.ascontiguousarray(lanes[starts[own] + at]).view("<u8")[:, 0] & _LOW[np.minimum(size[own] - at, 8)]
+        out[own] = mix64(out[own] ^ lane)
+    for i in np.flatnonzero(size > LANED).tolist():
+        word = codes[starts[i] : ends[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=seed.to_bytes(8)).digest())
+    return out
 
 
-def _hash_piece(codes: np.ndarray) -> np.ndarray:
-    global _POWERS
-    blank = BLANK[codes]
-    first = ~blank
-    first[1:] &= blank[:-1]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.empty(0, dtype=np.uint64)
-    within = np.arange(len(codes))
-    within -= starts[np.maximum(np.cumsum(first) - 1, 0)]
-    np.maximum(within, 0, out=within)  # blanks before the first word
-    if (top := int(within.max()) + 1) > len(_POWERS):
-        _POWERS = _powers(2 * top)
-    value = BYTE_CODE[codes] * _POWERS[within]
-    value[blank] = 0
-    return mix64(np.add.reduceat(value, starts))
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """One uint64 for each word of text, equal for equal words."""
+def word_hashes(text: bytes, seed: int = 1) -> np.ndarray:
+    """One uint64 for each word of text, equal for equal words; another family for another seed.
+
+    Different words of one length up to 8 bytes never share a hash. Other words do
+    with a chance of 2^-64 for each pair, and independently so for each seed.
+    """
     codes = np.frombuffer(text, dtype=np.uint8)
     if len(codes) <= PIECE:
-        return _hash_piece(codes)
+        return _hash_piece(codes, seed)
     out, at = [], 0
     while at < len(codes):
         end = min(at + PIECE, len(codes))
         if end < len(codes):
             rest = BLANK[codes[end:]]
             end += int(rest.argmax()) if rest.any() else len(rest)
-        out.append(_hash_piece(codes[at:end]))
+        out.append(_hash_piece(codes[at:end], seed))
         at = end
     return np.concatenate(out)
 
 
-def doc_word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+def doc_word_hashes(texts: list[bytes], seed: int = 1) -> Iterator[np.ndarray]:
     """word_hashes of each text, worked out for many short texts at once."""
     at = 0
     while at < len(texts):
@@ -159,14 +159,14 @@ def doc_word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
             end += 1
         part = texts[at:end]
         if len(part) == 1:
-            yield word_hashes(part[0])
+            yield word_hashes(part[0], seed)
         else:
             buffer = b"\n".join(part)
             codes = np.frombuffer(buffer, dtype=np.uint8)
             blank = BLANK[codes]
             first = ~blank
             first[1:] &= blank[:-1]
-            hashes = _hash_piece(codes)
+            hashes = _hash_piece(codes, seed)
             ends = np.cumsum([len(x) + 1 for x in part])
             cut = np.searchsorted(np.flatnonzero(first), ends)
             begin = 0

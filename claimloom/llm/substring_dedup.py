@@ -12,9 +12,9 @@ words are literals. The next factor starts where the last one ends; windows acro
 such a boundary are looked up like all others, and what any of them covers joins
 the duplicate spans.
 
-Equality of windows is that of 127 bits of hash, of documents that of 128 bits.
-They come from 64-bit hashes of words, so two windows that differ in one word are
-mistaken for each other with a chance of 2^-64.
+Equality of windows, at borders of factors and elsewhere, is that of two digests of
+their words from two independent families of word hashes, 127 bits in all; of
+documents that of 128 bits.
 
 How it runs: (1) tasks report the anchors of documents and Spark keeps those seen
 twice; (2) documents with such anchors meet them, and tasks fold the windows of
@@ -46,7 +46,6 @@ WINDOW, GRAM = 35, 8
 SPLIT = 1 << 11
 #: Windows that a task folds, or looks up, at a time.
 FOLDED = 1 << 20
-_SECOND = np.uint64(0x2545F4914F6CDD1D)
 
 
 def _smallest(g: np.ndarray, n: int) -> np.ndarray:
@@ -110,9 +109,9 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.select(*_uid(), "text").mapInArrow(run, "one long, two long, anchor long, times byte")
 
 
-def window_prints(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each window."""
-    return grams(h, window), grams(mix64(h ^ _SECOND), window)
+def window_prints(h: np.ndarray, second: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent digests of each window, from words hashed by two families."""
+    return grams(h, window), grams(second, window)
 
 
 def _groups(high: np.ndarray, low: np.ndarray, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,7 +193,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for batch in batches:
         columns = (batch[x].to_pylist() for x in ("one", "two", "anchors", "parts"))
-        for h, one, two, known, parts in zip(doc_word_hashes(_unpack(batch["packed"])), *columns, strict=True):
+        texts = _unpack(batch["packed"])
+        for h, second, one, two, known, parts in zip(doc_word_hashes(texts), doc_word_hashes(texts, 2), *columns, strict=True):
             m, _ = window_anchors(h)
             known, parts = np.array(known, dtype=np.int64).view(np.uint64), np.array(parts, dtype=np.uint64)
             order = np.argsort(known)
@@ -203,7 +203,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(known[where] == m)
             if not len(at):
                 continue
-            high, low = (x[at] for x in window_prints(h))
+            high, low = (x[at] for x in window_prints(h, second))
             block = signed(mix64(m[at] + high % parts[where[at]]))
             held.append((high, low & ~np.uint64(1), np.full(len(at), len(uids)), at, block))
             uids.append((one, two))
