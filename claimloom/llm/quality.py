@@ -97,7 +97,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (at[order[1:]] == at[order[:-1]])
         upper = np.add.reduceat(UPPER[codes].astype(np.int64), starts)
         last = codes[ends - 1]
-        for k, x in enumerate((length / 10.0, np.minimum(length, 40) ** 2 / 100.0, again, np.r_[0.0, h[1:] == h[:-1]], (upper > 0) & (upper >= length - 3), upper > 0, ~np.isin(last, np.frombuffer(b".,;:!?", np.uint8)) & (last < 65))):
+        for k, x in enumerate((np.log1p(length), np.minimum(length, 40) ** 2 / 100.0, again, np.r_[0.0, h[1:] == h[:-1]], (upper > 0) & (upper >= length - 3), upper > 0, ~np.isin(last, np.frombuffer(b".,;:!?", np.uint8)) & (last < 65))):
             out[:, 64 + PAIRS + k] = mean(x)
         out[:, -1] = np.log1p(words) / 5
     return (np.concatenate(feats) if feats else np.zeros((0, N_FEATURES), np.float32)), np.array(counts, dtype=np.int64)
