@@ -98,7 +98,7 @@ def terms(folded: str) -> set[str]:
     out = set()
     for word in set(folded.split()):
         out.update(GAP + word[:n] for n in STEM if n <= len(word))
-        if 3 <= len(word) <= 40:
+        if len(word) >= 3:
             out.add(GAP + word + GAP)
     return out
 
