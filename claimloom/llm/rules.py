@@ -41,8 +41,8 @@ from claimloom.llm.common import as_bytes, doc_word_hashes, dropped, grams, held
 
 #: Bytes of a gram of the operator's model.
 DEPTH = 5
-#: Bytes of text that share their grams.
-CHUNK = 1 << 23
+#: Bytes of text that share their grams, and bytes of text for each shard of the model.
+CHUNK, SHARD = 1 << 23, 1 << 24
 #: Chosen on labelled rows; the README has what other factors reject.
 WIDE = 2.0
 MIN_WORDS, MOST_REPEATED = 50, 50
@@ -226,8 +226,18 @@ def measure(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts and log_perplexity of each row."""
     held_names(docs, "doc_id", "text", "lang")
     spark = docs.sparkSession
-    shards = partitions(spark) | 1
+    # shards grow in number with the corpus, so one holds as many grams at any size
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(partitions(spark), -(-size // SHARD)) | 1
     chunks, name, path = bucketed(in_chunks(docs), partitions(spark))
+    try:
+        return _measured(chunks, shards)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        remove(spark, path)
+
+
+def _measured(chunks: DataFrame, shards: int) -> DataFrame:
     packed = stored(packed_grams(chunks, shards), "packed-grams")
     model = stored(fit(stored(count_grams(packed), f"grams-{DEPTH}")), "model")
 
@@ -244,8 +254,6 @@ def measure(docs: DataFrame) -> DataFrame:
 
     shape = "doc_id long, lang string, " + ", ".join(f"{x} long" for x in _MEASURES) + ", log_perplexity double"
     out = stored(chunks.groupBy("chunk").cogroup(answers(packed, model, shards).groupBy("chunk")).applyInArrow(score, shape), "rules")
-    spark.sql(f"DROP TABLE {name}")
-    remove(spark, path)
     dropped(packed, model)
     return out
 
