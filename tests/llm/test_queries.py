@@ -462,3 +462,59 @@ def test_near_copies_go_by_doc_id_and_text(spark):
     assert run((5, a), (9, a2), (5, b2), (2, b), (7, ""), (None, a)) == sorted([(5, a), (2, b), (7, ""), (None, a)], key=str)
     assert run((5, a), (5, a2), (5, b)) in (sorted([(5, a), (5, b)], key=str), sorted([(5, a2), (5, b)], key=str))
     assert len(run((5, a), (5, a.upper()), (6, a))) == 1
+
+
+def twins(bits=10):
+    """Two words of 2^bits letters whose sums of letters times powers modulo 2^64 agree whatever the letters count."""
+    one = "a"
+    for _ in range(bits):
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_a_polynomial_hash_mistakes(spark):
+    one, two = twins()
+    shared = [f"w{k}" for k in range(34)]
+    texts = [" ".join([one, *shared]), " ".join([two, *shared]), *(" ".join(x if k % 5 == 2 else f"{k}" for k in range(60)) for x in (one, two))]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert {r["kept"] for r in substring_dedup.parse(docs).collect()} == set(texts)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link_classes(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == by_brute_force(sets)
+    repeated = rules.judge(spark.createDataFrame([(0, f"{one} x y {two} x y", "en"), (1, f"{one} x y {one} x y", "en")], "doc_id long, text string, lang string"))
+    assert {r["doc_id"]: r["n_repeat_words"] for r in repeated.collect()} == {0: 0, 1: 6}
+
+
+def test_quality_with_a_word_of_700000_letters(spark):
+    rng = random.Random(21)
+    good = lambda: " ".join("".join(rng.choices("aeioutn", k=rng.randint(2, 8))) for _ in range(60))
+    bad = lambda: " ".join("".join(rng.choices("#$%XQ", k=rng.randint(1, 20))) for _ in range(60))
+    rows = [(k, good() if k % 2 else bad(), "en", k % 2) for k in range(80)] + [(81, "Q" * 700_000, "en", 0), (83, "x" * 700_000 + " y", "en", 0), (85, "", "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, q int")
+    labels = docs.filter("q IS NOT NULL").select("doc_id", F.col("q").alias("quality"))
+    held = crc_mod("doc_id", 5) == 0
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs.drop("q"), quality.fit(docs, labels, held)).collect()}
+    assert all(0 <= x <= 1 for x in got.values())
+    assert min(got[k] for k in range(1, 80, 2)) > max(got[k] for k in range(0, 80, 2))
+
+
+def test_toxicity_learns_a_word_of_50_letters(spark):
+    rng = random.Random(22)
+    say = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(12))
+    # both words start alike, so only the whole word tells
+    toxic, clean = "q" * 49 + "z", "q" * 50
+    rows = [(k, f"{say()} {toxic if k % 2 else clean} {say()}", k % 2) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"), crc_mod("doc_id", 3) == 1)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs.drop("toxic"), model).collect()}
+    assert min(got[k] for k in range(1, 200, 2)) > max(got[k] for k in range(0, 200, 2))
+
+
+def test_rules_with_many_shards(spark, patched):
+    frame = lambda: spark.createDataFrame(prose_and_junk(), "doc_id long, text string, lang string")
+    want = {r["doc_id"]: r["log_perplexity"] for r in rules.measure(frame()).collect()}
+    patched(rules, SHARD=2000, CHUNK=4000)
+    tables = spark.sql("SHOW TABLES").count()
+    got = {r["doc_id"]: r["log_perplexity"] for r in rules.measure(frame()).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert spark.sql("SHOW TABLES").count() == tables
