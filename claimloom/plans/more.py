@@ -9,11 +9,13 @@ from claimloom.functions import lexicon, scalars
 from claimloom.operators import content, evidence, extract, search, store, telemetry, validate, validity, verdict
 from claimloom.operators.consistency import discrepancies, members
 from claimloom.plans import oracles as o
-from claimloom.plans.core import joined, matches_of, query, status_of
+from claimloom.plans.core import SQL, joined, matches_of, query, status_of
 from claimloom.sources import fixtures, ingest
 from claimloom.sources.fixtures import load
 from claimloom.sources.scratch import new_path
+from claimloom.sources.tables import ClaimStore
 from claimloom.streaming import events as streams
+from claimloom.streaming import replay
 
 # --- page text: labelled lines made of derived fields, alike in both engines
 
@@ -580,3 +582,47 @@ def o87(s: SparkSession, d: str) -> DataFrame:
 @query("o88_status_counts", o.query([_EVENTS], "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, type, count(*) AS n_events FROM ev GROUP BY ALL"))
 def o88(s: SparkSession, d: str) -> DataFrame:
     return streams.status_counts(events_of(s, d)).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "type", "n_events")
+
+
+# --- the same over streams: several micro-batches with late rows, each stored once, read when all is in
+
+
+def played(s: SparkSession, d: str, name: str, keys: list[str], of, update: bool = False) -> DataFrame:
+    """The stored rows of a stream operator over the replayed events."""
+    path = new_path(s, name)
+    store = ClaimStore(s, f"{path}/store")
+    stream = of(replay.replayed(events_of(s, d), f"{path}/in", beyond="40 days"))
+    streams.stored_to_end(stream, store.sink(name, keys, "replay", update), f"{path}/state", "update" if update else "append")
+    return store.read(name)
+
+
+_END = f"claim_id <> '{replay.END}'"
+
+
+@query("o84_live_tool_stream", SQL["o84_live_tool"])
+def o84_stream(s: SparkSession, d: str) -> DataFrame:
+    return played(s, d, "live", ["claim_id"], lambda e: streams.live_tool(e, None), True).filter(_END).select("claim_id", "tool_name")
+
+
+@query("o85_pair_tool_events_stream", SQL["o85_pair_tool_events"])
+def o85_stream(s: SparkSession, d: str) -> DataFrame:
+    keys = ["claim_id", "iteration", "start_ts", "finish_ts"]
+    return played(s, d, "pairs", keys, lambda e: streams.pair_tool_events(e, "6 hours")).select("claim_id", "iteration", "tool_name", "elapsed_us")
+
+
+@query("o86_tool_log_stream", SQL["o86_dedup_tool_log"])
+def o86_stream(s: SparkSession, d: str) -> DataFrame:
+    """The watermark bounds the stream's own memory; the stored log knows every older step."""
+    return played(s, d, "log", ["claim_id", "iteration"], streams.dedup_tool_log).select("claim_id", "iteration")
+
+
+@query("o87_run_end_stream", SQL["o87_run_end"])
+def o87_stream(s: SparkSession, d: str) -> DataFrame:
+    out = played(s, d, "runs", ["claim_id", "started"], lambda e: streams.run_end(e, "6 hours")).filter(_END)
+    return out.select("claim_id", F.unix_micros("started").alias("started_us"), "n_events", "completed")
+
+
+@query("o88_status_counts_stream", SQL["o88_status_counts"])
+def o88_stream(s: SparkSession, d: str) -> DataFrame:
+    out = played(s, d, "counts", ["window_start", "type"], streams.status_counts, True).filter("type IS NOT NULL")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "type", "n_events")
