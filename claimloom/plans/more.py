@@ -283,6 +283,64 @@ def o78(s: SparkSession, d: str) -> DataFrame:
     return store.tool_log_ordered(log_of(s, d)).select("claim_id", "id", "tool_name")
 
 
+# --- stored tables: written by appends, merges and deletes, then read back
+
+
+def appended(s: SparkSession, rows: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """rows stored in three batches, the second of which is delivered twice."""
+    held = ClaimStore(s, new_path(s, name))
+    for k in (0, 1, 1, 2):
+        held.append(name, rows.filter(F.pmod(F.xxhash64(*keys), F.lit(3)) == k), keys, "intake", k)
+    return held.read(name)
+
+
+@query("o06_appended_claims", SQL["o06_new_claims"])
+def o06_stored(s: SparkSession, d: str) -> DataFrame:
+    return appended(s, store.new_claims(load(s, d, "claims")), "claims", ["claim_id"]).select("claim_id", "status", *joined("claim_filenames"))
+
+
+@query("o07_appended_log", SQL["o07_tool_log"])
+def o07_stored(s: SparkSession, d: str) -> DataFrame:
+    return appended(s, log_of(s, d).select("claim_id", "id", "tool_name", "success", "duration"), "log", ["claim_id", "id"])
+
+
+@query("o08_appended_snapshots", SQL["o08_snapshots"])
+def o08_stored(s: SparkSession, d: str) -> DataFrame:
+    return appended(s, snapshots_of(s, d), "snapshots", ["claim_id", "id"])
+
+
+def stored_reports(s: SparkSession, d: str, held: ClaimStore) -> DataFrame:
+    """Reports merged into a stored table: the first ones, then what came later, oldest last."""
+    raw = load(s, d, "reports")
+    for part in ("seq = 0", "seq > 1", "seq = 1"):
+        held.upsert("reports", raw.filter(part), ["claim_id"], ["created_on", "seq"])
+    return held.read("reports")
+
+
+@query("o09_merged_reports", SQL["o09_upsert_reports"])
+def o09_stored(s: SparkSession, d: str) -> DataFrame:
+    out = stored_reports(s, d, ClaimStore(s, new_path(s, "reports"))).withColumn("claim_status", F.lit("completed"))
+    return out.select("claim_id", "verdict", "missing_count", "validity_pass", "claim_status")
+
+
+_GONE = "gone AS (SELECT claim_id FROM claims WHERE status = 'failed' UNION SELECT claim_id FROM users WHERE length(claim_id) % 2 = 0)"
+
+
+@query("o50_deleted_claims", o.query([o.CLAIMS, o.REPORTS, o.LOG, _SNAPSHOTS, _USERS, _GONE], "SELECT 'reports' AS stored, claim_id, verdict AS held FROM reports ANTI JOIN gone USING (claim_id) UNION ALL SELECT 'log', claim_id, id || tool_name FROM log ANTI JOIN gone USING (claim_id) UNION ALL SELECT 'snapshots', claim_id, id || step_name FROM snapshots ANTI JOIN gone USING (claim_id)"))
+def o50_stored(s: SparkSession, d: str) -> DataFrame:
+    """Log, snapshots and reports after one delete of claims from all of them."""
+    held = ClaimStore(s, new_path(s, "claims"))
+    held.append("log", log_of(s, d).select("claim_id", "id", "tool_name"), ["claim_id", "id"])
+    held.append("snapshots", snapshots_of(s, d), ["claim_id", "id"])
+    stored_reports(s, d, held)
+    held.delete(load(s, d, "claims").filter("status = 'failed'").select("claim_id").union(user_claims(s, d).filter("status = 'in_progress'").select("claim_id")))
+    step = {"reports": F.col("verdict"), "log": F.concat(F.col("id").cast("string"), "tool_name"), "snapshots": F.concat(F.col("id").cast("string"), "step_name")}
+    first, *rest = (held.read(t).select(F.lit(t).alias("stored"), "claim_id", x.alias("held")) for t, x in step.items())
+    for x in rest:
+        first = first.union(x)
+    return first
+
+
 # --- telemetry
 
 @query("o65_portfolio_kpis", o.query([o.CLAIMS, o.REPORTS], "SELECT count(*) AS n_claims, sum(1 + len(string_split(claim_filenames, '|')))::BIGINT AS n_files, count(*) FILTER (WHERE contains(lower(status), 'missing') OR contains(lower(status), 'action_required')) AS action_by_status, count(*) FILTER (WHERE contains(lower(status), 'ready')) AS ready_by_status, count(*) FILTER (WHERE starts_with(verdict, 'ACTION_REQUIRED')) AS action_by_verdict, count(*) FILTER (WHERE verdict = 'CLAIM_READY_FOR_SUBMISSION') AS ready_by_verdict FROM claims LEFT JOIN reports USING (claim_id)"))
