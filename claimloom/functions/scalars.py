@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +24,11 @@ def found(x: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(x, pattern, group), F.lit(""))
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value worked out once however often of names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def contains_any(x: Column, phrases: Sequence[str]) -> Column:
     out = F.lit(False)
     for p in phrases:
@@ -158,10 +163,19 @@ def requirement_line(x: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(col(x)), r"^[0-9.\-*)\s]+", ""))
 
 
+def _cut_title(line: Column, words: str) -> Column:
+    head = F.get(F.split(line, rf"(?i)\s+(?:{words})\s+"), F.lit(0))
+    return F.trim(F.substring(F.trim(head), 1, 60))
+
+
 def requirement_title(x: str | Column) -> Column:
     """What a clause line asks for: at most 60 characters before its conditions."""
-    head = F.get(F.split(requirement_line(x), r"(?i)\s+(?:with|stating|and payment|supporting|issued by|duly)\s+"), F.lit(0))
-    return F.trim(F.substring(F.trim(head), 1, 60))
+    return _cut_title(requirement_line(x), "with|stating|and payment|supporting|issued by|duly")
+
+
+def clause_title(x: str | Column) -> Column:
+    """The same of a whole clause, of which only a leading number goes."""
+    return _cut_title(F.trim(F.regexp_replace(col(x), r"^\d+[.)]\s*", "")), "with|stating|and payment|supporting")
 
 
 def requirement_words(x: str | Column, stop: Sequence[str] = lexicon.REQUIREMENT_STOP) -> Column:
@@ -180,10 +194,62 @@ def loose_page_number(x: str | Column) -> Column:
     return F.when(n >= 1, n)
 
 
+def json_spans(x: str | Column) -> Column:
+    """The outermost balanced {...} and [...] of a text, in order: a fold over characters
+    that knows strings and escapes. What is opened and never closed is no span, but
+    what lies inside it may be one."""
+    raw = col(x)
+    state = "struct<open:array<int>,quoted:boolean,escaped:boolean,at:int,spans:array<struct<start:int,end:int>>>"
+    named = lambda *values: F.struct(*(v.alias(n) for v, n in zip(values, ("open", "quoted", "escaped", "at", "spans"), strict=True))).cast(state)
+    zero = named(F.array().cast("array<int>"), F.lit(False), F.lit(False), F.lit(1), F.array().cast("array<struct<start:int,end:int>>"))
+
+    def step(s: Column, c: Column) -> Column:
+        inside = F.size(s["open"]) > 0
+        opens, closes = c.isin("{", "[") & ~s["quoted"], c.isin("}", "]") & ~s["quoted"] & inside
+        start = F.get(s["open"], F.size(s["open"]) - 1)
+        # a span takes the place of those inside it
+        spans = F.when(closes, F.concat(F.filter(s["spans"], lambda p: p["start"] < start), F.array(F.struct(start.alias("start"), s["at"].alias("end"))))).otherwise(s["spans"])
+        stack = F.when(opens, F.array_append(s["open"], s["at"])).when(closes, F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)).otherwise(s["open"])
+        # quotes count inside brackets only: prose around them has apostrophes and quotes of its own
+        quote = (c == '"') & inside & ~s["escaped"]
+        return named(stack, s["quoted"] != quote, (c == "\\") & s["quoted"] & ~s["escaped"], s["at"] + 1, spans)
+
+    folded = F.aggregate(F.split(raw, ""), zero, step)
+    return F.transform(folded["spans"], lambda p: F.substring(raw, p["start"], p["end"] - p["start"] + 1))
+
+
+def _parses(x: Column) -> Column:
+    """x where it is one JSON object or array and nothing else, else null."""
+
+    def checked(body: Column) -> Column:
+        # the parser stops behind the first value; what follows it shows inside brackets of either kind
+        closed = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}"))).isNotNull()
+        alone = F.size(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).cast("array<variant>")) == 1
+        return F.when(body.rlike(r"^[\[{]") & closed & alone, body)
+
+    return let(F.regexp_replace(x, r"^\s+|\s+$", ""), checked)
+
+
 def first_json_object(x: str | Column) -> Column:
-    """The text of a fenced JSON block, else of the outermost braces or brackets."""
+    """The JSON object that a model's answer holds; null where it holds none.
+
+    Candidates are tried until one parses: the first fenced block, or the text without
+    one, as a whole, from its first to its last brace, and from its first to its last
+    bracket; then the pairs of an action, its reason and its input; then the other
+    fenced blocks, and balanced spans, objects first. An array becomes the object's
+    document_results."""
     raw = col(x)
-    return F.coalesce(found(raw, r"(?s)```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```"), found(raw, r"(?s)(\{.*\})"), found(raw, r"(?s)(\[.*\])"))
+    fences = F.regexp_extract_all(raw, F.lit(r"(?s)```(?:json)?\s*(.*?)\s*```"), F.lit(1))
+    clean = F.coalesce(F.get(fences, F.lit(0)), raw)
+    first_of = lambda xs: F.get(F.filter(F.transform(xs, _parses), lambda c: c.isNotNull()), F.lit(0))
+    pair = lambda key: found(raw, rf"""(?i)["']{key}["']\s*:\s*["']([^"']+)["']""")
+    given = _parses(found(raw, r"""(?is)["']action_input["']\s*:\s*(\{.*?\})"""))
+    told = F.to_json(F.struct(F.trim(pair("action")).alias("action"), F.coalesce(F.trim(pair("reason")), F.lit("Autonomous decision.")).alias("reason")))
+    told = F.concat(F.substring(told, F.lit(1), F.length(told) - 1), F.lit(',"action_input":'), F.coalesce(given, F.lit("{}")), F.lit("}"))
+    of_clean = let(clean, lambda c: F.coalesce(_parses(c), _parses(found(c, r"(?s)(\{.*\})")), _parses(found(c, r"(?s)(\[.*\])"))))
+    of_spans = let(json_spans(raw), lambda spans: F.coalesce(first_of(F.filter(spans, lambda c: c.startswith("{"))), first_of(spans)))
+    body = F.coalesce(of_clean, F.when(pair("action").isNotNull(), told), F.when(F.size(fences) > 1, first_of(fences)), F.when(raw.rlike(r"[{\[]"), of_spans))
+    return let(body, lambda b: F.when(b.startswith("["), F.concat(F.lit('{"document_results":'), b, F.lit("}"))).otherwise(b))
 
 
 def label_from_key(x: str | Column) -> Column:

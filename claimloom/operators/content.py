@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.scalars import contains_any
+from claimloom.functions.lexicon import BANNERS
+from claimloom.functions.scalars import contains_any, found
 
 # Signal patterns by family, over lower-case text.
 FAMILIES = {
@@ -130,7 +131,7 @@ def accept_policy(classified: DataFrame) -> DataFrame:
 
 
 def classify_pages(pages: DataFrame) -> DataFrame:
-    """Adds page_type from text and file name, an ordered CASE; unknown without text."""
+    """Adds page_type from text, banner and file name, an ordered CASE; unknown without text."""
     low, name = F.lower(F.coalesce("text", F.lit(""))), F.lower(F.coalesce("source_file", F.lit("")))
     has = lambda *p: contains_any(low, p)
     # The phrases of each type.
@@ -140,9 +141,17 @@ def classify_pages(pages: DataFrame) -> DataFrame:
         | (has("health plan", "sum insured", "proposer details", "coverage details", "elevate") & has("policy period", "waiting period", "exclusion", "benefit", "premium", "valid from") & ~has("tax invoice", "ipd no", "bill amount", "discharge summary", "chief complaints", "investigation charges"))
         | (name.contains("policy") & ~has("tax invoice", "discharge summary", "chief complaints", "investigation charges", "lab report"))
     )
+    document, section, _ = (found(F.col("text"), rf"(?im)^\s*{b}\s*([^\n\r]+)") for b in BANNERS)
+    title = F.lower(document)
+    of_banner = (
+        F.when(contains_any(title, ("diagnostic", "pathology", "scan report", "ultrasound", "radiology", "laboratory")), "medical_report")
+        .when(contains_any(title, ("tax invoice", "receipt", "medical bill", "pharmacy tax", "final inpatient")), "medical_bill")
+        .otherwise("hospital_document")
+    )
     kind = (
         F.when(F.trim(low) == "", "unknown")
-        .when(policy, "insurance_policy")
+        .when(section.isNotNull() | policy, "insurance_policy")
+        .when(document.isNotNull(), of_banner)
         .when(has("first information report", "police station", "incident report", "report number: fir", "theft of travel", "police seal"), "incident_document")
         .when(has("pathology laboratory", "radiology ultrasound", "diagnostic ultrasound scan report", "pathology report"), "medical_report")
         .when(has("hospital medical bill", "final inpatient tax invoice", "pharmacy tax invoice", "official settlement & payment receipt", "tax invoice & cov-002"), "medical_bill")

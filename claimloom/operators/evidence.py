@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import lexicon
 from claimloom.functions.scalars import (
+    clause_title,
     contains_any,
     first_json_object,
+    let,
     loose_bool,
     loose_page_number,
     requirement_line,
@@ -26,24 +28,28 @@ MISSING_STATUS = ("missing", "not_found", "unfulfilled", "pending", "required",
 
 
 def extract_requirements(pages: DataFrame, keywords: Sequence[str] = lexicon.REQUIREMENT_WORDS, excluded: Sequence[str] = lexicon.REQUIREMENT_EXCLUDED) -> DataFrame:
-    """claim_id, sr_no, document_title, reason from the clauses of policy pages,
-    then from their conditions and from the text of their claims section.
+    """claim_id, sr_no, document_title, reason: of each policy page in order, lines of
+    its conditions, then of its clauses, then of the text of its claims section.
 
-    The first line of a title (in lower case) counts; numbers follow line order.
+    The first line of a title (in lower case) counts; numbers follow line order. A
+    claim without any such line takes the titles of its clauses as they stand.
     """
     none = F.array().cast("array<string>")
-    held = [F.coalesce(c, none) for c in ("policy_clauses", "relevant_conditions") if c in pages.columns]
-    if "policy_relevant_text" in pages.columns:
-        held.append(F.when(text("policy_relevant_text").isNotNull(), F.array("policy_relevant_text")).otherwise(none))
-    own = pages.filter(F.col("document_type") == "insurance_policy")
-    lines = own.select("claim_id", "page_seq", F.posexplode(F.flatten(F.transform(F.concat(*held), lambda c: F.split(c, r"[\n\r;]+")))).alias("at", "raw"))
-    lines = lines.select("claim_id", "page_seq", "at", requirement_line("raw").alias("reason"), requirement_title("raw").alias("document_title"))
+    array = lambda c: F.coalesce(F.col(c), none) if c in pages.columns else none
+    section = F.when(text("policy_relevant_text").isNotNull(), F.array("policy_relevant_text")).otherwise(none) if "policy_relevant_text" in pages.columns else none
+    lines = F.flatten(F.transform(F.concat(array("relevant_conditions"), array("policy_clauses"), section), lambda c: F.split(c, r"[\n\r;]+")))
+    rows = F.concat(F.transform(lines, lambda x: F.struct(F.lit(0).alias("kind"), x.alias("raw"))), F.transform(array("policy_clauses"), lambda x: F.struct(F.lit(1).alias("kind"), x.alias("raw"))))
+    own = pages.filter(F.col("document_type") == "insurance_policy").select("claim_id", "page_seq", F.posexplode(rows).alias("at", "row"))
+    as_line, kind, raw = F.col("row.kind") == 0, F.col("row.kind"), F.col("row.raw")
+    own = own.select("claim_id", "page_seq", "at", kind.alias("kind"), F.when(as_line, requirement_line(raw)).otherwise(raw).alias("reason"), F.when(as_line, requirement_title(raw)).otherwise(clause_title(raw)).alias("document_title"))
     low = F.lower("reason")
     keep = (F.length("reason") >= 4) & contains_any(low, keywords) & ~contains_any(low, excluded) & ~contains_any(F.lower("document_title"), lexicon.TITLE_EXCLUDED)
     order = ["page_seq", "at"]
-    same = Window.partitionBy("claim_id", F.lower("document_title")).orderBy(*order)
-    lines = lines.filter(keep).withColumn("nth", F.row_number().over(same)).filter("nth = 1")
-    return lines.select("claim_id", F.row_number().over(Window.partitionBy("claim_id").orderBy(*order)).alias("sr_no"), "document_title", "reason")
+    same = Window.partitionBy("claim_id", "kind", F.lower("document_title")).orderBy(*order)
+    own = own.filter(((F.col("kind") == 0) & keep) | ((F.col("kind") == 1) & (F.col("document_title") != "")))
+    own = own.withColumn("nth", F.row_number().over(same)).filter("nth = 1")
+    own = own.withColumn("first_kind", F.min("kind").over(Window.partitionBy("claim_id"))).filter("kind = first_kind")
+    return own.select("claim_id", F.row_number().over(Window.partitionBy("claim_id").orderBy(*order)).alias("sr_no"), "document_title", "reason")
 
 
 def submissions(pages: DataFrame) -> DataFrame:
@@ -114,10 +120,10 @@ def validate_responses(responses: DataFrame, pages: DataFrame) -> DataFrame:
     """Items of stored JSON responses with a reason where they are no good.
 
     claim_id, sr_no, document_title, missing, page_number, problem. A response
-    without a result list gives one row with sr_no 0.
+    without a result list gives one row with sr_no 0; a bare array is a result list.
     """
     parsed = F.from_json(first_json_object("response_json"), f"document_results array<{_ITEM}>, missing_documents array<{_ITEM}>")
-    rows = responses.select("claim_id", F.coalesce(parsed["document_results"], parsed["missing_documents"]).alias("items"))
+    rows = responses.select("claim_id", let(parsed, lambda p: F.coalesce(p["document_results"], p["missing_documents"])).alias("items"))
     bad = rows.filter("items IS NULL").select("claim_id", F.lit(0).alias("sr_no"), F.lit(None).cast("string").alias("document_title"), F.lit(None).cast("boolean").alias("missing"), F.lit(None).cast("int").alias("page_number"), F.lit("no result list").alias("problem"))
     items = rows.select("claim_id", F.posexplode("items").alias("k", "i"))
     raw_page = F.coalesce("i.page_number", "i.page_no")
@@ -132,3 +138,16 @@ def validate_responses(responses: DataFrame, pages: DataFrame) -> DataFrame:
         .when(~F.col("missing") & F.col("known").isNull(), "page not submitted")
     )
     return items.select("claim_id", "sr_no", "document_title", "missing", "page_number", problem.alias("problem")).unionByName(bad)
+
+
+def split_responses(validated: DataFrame, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Good and quarantined items, both stored under path by one pass, and their counts.
+
+    The counts (items, good, quarantined) are observed while the rows are written.
+    """
+    spark, seen = validated.sparkSession, Observation("responses")
+    good = F.col("problem").isNull()
+    rows = validated.withColumn("outcome", F.when(good, "good").otherwise("quarantined"))
+    rows.observe(seen, F.count("*").alias("items"), F.count_if(good).alias("good"), F.count_if(~good).alias("quarantined")).write.partitionBy("outcome").parquet(path)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    return stored.filter("outcome = 'good'").drop("outcome", "problem"), stored.filter("outcome = 'quarantined'").drop("outcome"), seen.get

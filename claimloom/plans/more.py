@@ -69,6 +69,22 @@ def o13(s: SparkSession, d: str) -> DataFrame:
     return content.classify_pages(page_text(s, d)).select("claim_id", "page_seq", "page_type")
 
 
+#: A number for each page, to deal out banners by.
+_TURN = "(CAST(regexp_extract(claim_id, '[0-9]+', 0) AS BIGINT) + page_seq) % 7"
+
+
+@query("o13_banner_pages", o.query([o.PAGES, _TEXT], rf"""SELECT claim_id, page_seq, CASE
+  WHEN contains(source_file, 'policy') OR turn IN (1, 5) THEN 'insurance_policy' WHEN turn = 2 THEN 'medical_report' WHEN turn = 3 THEN 'medical_bill' WHEN turn = 4 THEN 'hospital_document'
+  WHEN document_type = 'incident_document' THEN 'incident_document' WHEN document_type = 'medical_report' THEN 'medical_report' WHEN document_type = 'medical_bill' THEN 'medical_bill' ELSE 'hospital_document' END AS page_type
+  FROM (SELECT *, {_TURN} AS turn FROM page_text)"""))
+def o13_banners(s: SparkSession, d: str) -> DataFrame:
+    """Pages under banners of sections, documents and claim forms."""
+    turn = F.expr(_TURN)
+    banner = F.when(turn == 1, "SECTION B: COVERAGE\n").when(turn == 2, "Document 3 - Scan Report of the knee\n").when(turn == 3, "  DOCUMENT 2: FINAL INPATIENT BILL\n").when(turn == 4, "DOCUMENT 12: other papers\n")
+    banner = F.coalesce(banner.when(turn == 5, "\nSection 4 (Part II): General\n").when(turn == 6, "CLAIM FORM - PART A\n"), F.lit(""))
+    return content.classify_pages(page_text(s, d).withColumn("text", F.concat(banner, "text"))).select("claim_id", "page_seq", "page_type")
+
+
 def fields_of(s: SparkSession, d: str, *steps) -> DataFrame:
     df = page_text(s, d).withColumn("page_type", F.when(F.col("file_seq") == 0, "insurance_policy").otherwise(F.col("document_type"))).drop("patient_name")
     for step in steps:
@@ -573,6 +589,29 @@ def f14(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "pages").groupBy("document_type").agg(F.count("*").alias("n")).withColumn("label", scalars.label_from_key("document_type"))
 
 
+_NUMBER = "CAST(regexp_extract(claim_id, '[0-9]+', 0) AS BIGINT)"
+
+
+@query("o81_requirement_sources", o.query([o.PAGES, o.REQUIREMENTS], f"""SELECT claim_id, row_number() OVER (PARTITION BY claim_id ORDER BY place) AS sr_no, title AS document_title, reason FROM (
+  SELECT claim_id, sr_no + 10 AS place, document_title AS title, reason FROM requirements WHERE {_NUMBER} % 3 <> 1
+  UNION ALL SELECT claim_id, 1, 'Submit the discharge summary', 'Submit the discharge summary with stamp' FROM pages WHERE {o.POLICY} AND {_NUMBER} % 3 = 0
+  UNION ALL SELECT claim_id, 90, 'Original bills of shops', 'Original bills of shops' FROM pages WHERE {o.POLICY} AND {_NUMBER} % 3 = 0
+  UNION ALL SELECT claim_id, 91, 'police papers', 'police papers duly signed' FROM pages WHERE {o.POLICY} AND {_NUMBER} % 3 = 0
+  UNION ALL SELECT claim_id, 1, 'Clause two must be sent', '1. Clause two must be sent with stamp' FROM pages WHERE {o.POLICY} AND {_NUMBER} % 3 = 1
+  UNION ALL SELECT claim_id, 2, 'Room rent is capped', 'Room rent is capped' FROM pages WHERE {o.POLICY} AND {_NUMBER} % 3 = 1)"""))
+def o81_sources(s: SparkSession, d: str) -> DataFrame:
+    """Conditions before clauses before the section's text, and claims that only have clauses without a document word."""
+    k = F.expr(f"{_NUMBER} % 3")
+    pages = load(s, d, "pages")
+    bare = F.array(*map(F.lit, ("1. Clause two must be sent with stamp", "2) clause TWO must be sent stating why", "", "Room rent is capped")))
+    pages = pages.withColumns({
+        "relevant_conditions": F.when(k == 0, F.array(F.lit("Submit the discharge summary with stamp"))),
+        "policy_relevant_text": F.when(k == 0, F.lit("Original bills of shops;police papers duly signed\n submit the DISCHARGE summary with seal")),
+        "policy_clauses": F.when(k == 1, bare).otherwise(F.col("policy_clauses")),
+    })
+    return evidence.extract_requirements(pages)
+
+
 @query("o83_validate_responses", o.query([o.PAGES, o.REQUIREMENTS, o.SUBMITTED, o.MATCHES], "SELECT claim_id, sr_no, document_title, CASE WHEN page_number IS NULL AND NOT missing THEN 'present without a page' END AS problem FROM (SELECT claim_id, row_number() OVER (PARTITION BY claim_id ORDER BY sr_no) AS sr_no, document_title, missing, page_number FROM matches)"))
 def o83(s: SparkSession, d: str) -> DataFrame:
     pages = load(s, d, "pages")
@@ -583,6 +622,45 @@ def o83(s: SparkSession, d: str) -> DataFrame:
     return evidence.validate_responses(responses, pages).select("claim_id", "sr_no", "document_title", "problem")
 
 
+#: A response's items in one of seven shapes, the last of which holds none.
+_SHAPE = "CAST(regexp_extract(claim_id, '[0-9]+', 0) AS BIGINT) % 7"
+_ITEMS = f"items AS (SELECT claim_id, {_SHAPE} AS shape, row_number() OVER (PARTITION BY claim_id ORDER BY sr_no) AS sr_no, document_title, missing, page_number FROM matches)"
+_JUDGED = "judged AS (SELECT claim_id, sr_no, document_title, missing, page_number, CASE WHEN page_number IS NULL AND NOT missing THEN 'present without a page' END AS problem FROM items WHERE shape < 6 UNION ALL SELECT DISTINCT claim_id, 0, NULL, NULL, NULL, 'no result list' FROM items WHERE shape = 6)"
+
+
+def shaped_responses(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    pages = load(s, d, "pages")
+    item = F.struct("sr_no", "document_title", "missing", "page_number")
+    rows = matches_of(pages).groupBy("claim_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("list"))
+    k, body = F.expr(_SHAPE), F.concat(F.lit('{"document_results":'), "list", F.lit("}"))
+    text = (
+        F.when(k == 0, F.concat(F.lit("Sure:\n```json\n"), "list", F.lit("\n```\nDone.")))  # a fenced array
+        .when(k == 1, F.col("list"))  # a bare array
+        .when(k == 2, F.concat(F.lit("Here: "), body, F.lit(" and so {on}")))  # braces behind it
+        .when(k == 3, F.concat(F.lit("```json\n{\"document_results\": [\n```\nagain:\n```json\n"), body, F.lit("\n```")))  # a broken fence first
+        .when(k == 4, F.concat(F.lit("{oops, it's \"broken\" {\"note\": 1 "), body))  # an object behind braces that never close
+        .when(k == 5, F.concat(body, F.lit(" }}")))
+        .otherwise("No {results} today")
+    )
+    return rows.select("claim_id", text.alias("response_json")), pages
+
+
+_SHAPED = [o.PAGES, o.REQUIREMENTS, o.SUBMITTED, o.MATCHES, _ITEMS, _JUDGED]
+
+
+@query("o83_shaped_responses", o.query(_SHAPED, "SELECT * FROM judged"))
+def o83_shaped(s: SparkSession, d: str) -> DataFrame:
+    return evidence.validate_responses(*shaped_responses(s, d)).select("claim_id", "sr_no", "document_title", "missing", "page_number", "problem")
+
+
+@query("o83_split_responses", o.query(_SHAPED, "SELECT CASE WHEN problem IS NULL THEN 'good' ELSE 'quarantined' END AS outcome, claim_id, sr_no, problem, (SELECT count(*) FROM judged) AS n_items, (SELECT count(*) FROM judged WHERE problem IS NULL) AS n_good FROM judged"))
+def o83_split(s: SparkSession, d: str) -> DataFrame:
+    """Both outputs of the split, with the counts that its one pass observed."""
+    good, bad, n = evidence.split_responses(evidence.validate_responses(*shaped_responses(s, d)), new_path(s, "responses"))
+    both = good.select(F.lit("good").alias("outcome"), "claim_id", "sr_no", F.lit(None).cast("string").alias("problem")).union(bad.select(F.lit("quarantined"), "claim_id", "sr_no", "problem"))
+    return both.withColumn("n_items", F.lit(n["items"]).cast("long")).withColumn("n_good", F.lit(n["good"]).cast("long"))
+
+
 # --- intake of files and streams
 
 @query("o01_read_bundles")
