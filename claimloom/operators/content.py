@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,37 +65,30 @@ PILLARS = (
 )
 
 
-def openings(pattern: str) -> list[str] | None:
-    """What a text that matches must contain one of: the letters that each
-    alternative of the pattern starts with. None where that can't be told."""
-    found = re.fullmatch(r"\\b\(\?:(.*?)\)(?:\\b|\[.*)", pattern)
-    if not found:
-        return None
-    starts, depth, at = [0], 0, 0
-    body = found[1]
-    for at, c in enumerate(body):
-        depth += (c == "(") - (c == ")")
-        if c == "|" and not depth:
-            starts.append(at + 1)
-    heads = [re.match(r"[a-z]*", body[k:])[0] for k in starts]
-    # a letter that may be left out is no part of it
-    heads = [h[:-1] if body[k + len(h) : k + len(h) + 1] == "?" else h for k, h in zip(starts, heads, strict=True)]
-    return sorted(set(heads)) if all(heads) else None
-
-
 def with_signals(docs: DataFrame, families=FAMILIES) -> DataFrame:
     """Adds one array of found signals for each family.
 
-    A pattern only runs on texts that hold the opening of one of its alternatives."""
-    low = F.col("_low")
-
-    def signal(pattern: str, kind: str) -> F.Column:
-        heads = openings(pattern)
-        hit = low.rlike(pattern)
-        return F.when(contains_any(low, heads) & hit if heads else hit, F.lit(kind))
-
-    docs = docs.withColumn("_low", F.lower("text"))
-    return docs.withColumns({f"{name}_signals": F.array_compact(F.array(*(signal(p, k) for p, k in patterns))) for name, patterns in families.items()}).drop("_low")
+    All patterns run in one pass over Arrow batches by an engine of linear time, which
+    gives a number for each family with a bit for each pattern found. A vertical tab
+    is no blank between words."""
+    patterns = [[p for p, _ in of] for of in families.values()]
+
+    @F.arrow_udf("array<long>")
+    def masks(low: pa.Array) -> pa.Array:
+        columns = []
+        for of in patterns:
+            bits = np.zeros(len(low), dtype=np.int64)
+            for k, p in enumerate(of):
+                bits |= np.asarray(pc.match_substring_regex(low, p).fill_null(False), dtype=np.int64) << k
+            columns.append(bits)
+        flat = np.stack(columns, axis=1).reshape(-1) if columns else np.empty(0, dtype=np.int64)
+        return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, max(len(columns), 1), dtype=np.int32)[: len(low) + 1], flat)
+
+    def signals(at: int, of) -> F.Column:
+        return F.array_compact(F.array(*(F.when(F.getbit(F.col("_masks")[at], F.lit(k)) == 1, F.lit(kind)) for k, (_, kind) in enumerate(of))))
+
+    docs = docs.withColumn("_masks", masks(F.lower("text")))
+    return docs.withColumns({f"{name}_signals": signals(i, of) for i, (name, of) in enumerate(families.items())}).drop("_masks")
 
 
 def classify_content(docs: DataFrame, families=FAMILIES) -> DataFrame:

@@ -59,10 +59,9 @@ def submissions(pages: DataFrame) -> DataFrame:
     return own.select("claim_id", "page_seq", "page_number", "document_type", F.coalesce(text("document_title"), derived).alias("document_title"))
 
 
-def meets(requirement: Column, submission: Column) -> Column:
-    """Whether a submitted title (lower case) meets a requirement (lower case)."""
-    need = requirement_words(requirement)
-    shared = F.size(F.array_intersect(need, F.array_distinct(words(submission))))
+def meets(requirement: Column, need: Column, submission: Column, held: Column) -> Column:
+    """Whether a submitted title meets a requirement: both in lower case, and their words."""
+    shared = F.size(F.array_intersect(need, held))
     out = submission.contains(requirement) | requirement.contains(submission)
     for left, right in lexicon.EVIDENCE_CATEGORIES:
         out = out | (F.arrays_overlap(need, F.array(*map(F.lit, left))) & contains_any(submission, right))
@@ -76,7 +75,10 @@ def match_evidence(requirements: DataFrame, submitted: DataFrame) -> DataFrame:
     """
     r = requirements.select("claim_id", "sr_no", F.col("document_title").alias("requirement"))
     s = submitted.select("claim_id", "page_seq", "page_number", F.trim(F.coalesce("document_title", F.lit(""))).alias("submission"))
-    hit = r.join(s, "claim_id").filter(meets(F.lower("requirement"), F.lower("submission")))
+    # words are taken before titles meet, once for each title
+    asked = r.select("claim_id", "sr_no", F.lower("requirement").alias("r"), requirement_words(F.lower("requirement")).alias("need"))
+    given = s.withColumn("s", F.lower("submission")).withColumn("held", F.array_distinct(words(F.col("s"))))
+    hit = asked.join(given, "claim_id").filter(meets(F.col("r"), F.col("need"), F.col("s"), F.col("held")))
     first = hit.groupBy("claim_id", "sr_no").agg(F.min_by(F.struct("page_number", "submission"), "page_seq").alias("hit"))
     out = r.join(first, ["claim_id", "sr_no"], "left")
     ok = F.coalesce((F.col("hit.submission") != "") & F.col("hit.page_number").isNotNull(), F.lit(False))

@@ -27,9 +27,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df as a table in buckets of key: what groups or joins on key shuffles it no more."""
+    """df as a table in buckets of key: what groups or joins on key shuffles it no more.
+
+    The catalog's entry goes at once; the plan holds what it said, and the files stay."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
     df.repartition(n, key).write.bucketBy(n, key).option("path", new_path(spark, name)).format("parquet").saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out

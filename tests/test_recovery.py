@@ -85,3 +85,23 @@ def test_page_types_by_banner(spark):
     got = content.classify_pages(spark.createDataFrame([(k, t, "f.pdf") for k, (t, _) in enumerate(pages)], "k int, text string, source_file string")).orderBy("k").select("page_type")
     assert [r[0] for r in got.collect()] == [w for _, w in pages]
     assert got.filter(F.col("page_type").isNull()).count() == 0
+
+
+def test_bucketed_leaves_no_table_behind(spark):
+    from claimloom.sources.scratch import bucketed
+
+    before = spark.sql("SHOW TABLES").count()
+    rows = bucketed(spark.range(100).selectExpr("id % 7 AS claim_id", "id"), "claim_id", "gone")
+    assert spark.sql("SHOW TABLES").count() == before
+    out = rows.groupBy("claim_id").agg(F.count("*").alias("n"))
+    assert sum(r["n"] for r in out.collect()) == 100
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().split("Scan")[0]
+
+
+def test_signals_of_odd_texts(spark):
+    texts = ["POLICY SCHEDULE\nSum  Insured: 5", "policyschedule", "a policy\u00e9schedule", "xpolicy schedule", "", None, "no police station here; FIR no 3", "policy schedule " * 5000]
+    got = content.with_signals(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")).orderBy("k").collect()
+    heads = [r["policy_signals"][:1] for r in got]
+    assert heads == [["contract_schedule_heading"], ["contract_schedule_heading"], [], [], [], [], [], ["contract_schedule_heading"]]
+    assert got[0]["policy_signals"] == ["contract_schedule_heading", "sum_insured_provision"] and got[6]["incident_signals"] == ["police_incident_record"]
+    assert "text" in got[0].asDict() and "_masks" not in got[0].asDict()
