@@ -42,4 +42,4 @@ def test_requirements(spark):
 def test_loose_values(spark):
     assert column(spark, ["yes", "0", "maybe", None], s.loose_bool) == [True, False, None, None]
     assert column(spark, ["3", "0", "-1", "x", None], s.loose_page_number) == [3, None, None, None, None]
-    assert column(spark, ['say ```json\n{"a": 1}\n``` ok', 'x {"a": {"b": 2}} y', "[1]", "none"], s.first_json_object) == ['{"a": 1}', '{"a": {"b": 2}}', "[1]", None]
+    assert column(spark, ['say ```json\n{"a": 1}\n``` ok', 'x {"a": {"b": 2}} y', "[1]", "none"], s.first_json_object) == ['{"a": 1}', '{"a": {"b": 2}}', '{"document_results":[1]}', None]
