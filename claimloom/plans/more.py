@@ -144,9 +144,10 @@ def o35(s: SparkSession, d: str) -> DataFrame:
     return fields_of(s, d, extract.reference_numbers_and_cover).select("claim_id", "page_seq", "receipt_number", "bill_number", "sum_insured", "premium_amount")
 
 
-@query("o36_amounts", o.query([o.PAGES, _TEXT], r"SELECT claim_id, page_seq, CASE WHEN file_seq = 1 AND document_type IN ('medical_bill', 'invoice') THEN nullif(regexp_extract(text, 'Total Amount[:\s*Rs₹.]*([0-9,]+(?:[.][0-9][0-9])?)', 1), '') END AS bill_amount FROM page_text"))
+# the pages have receipt numbers, so that what is billed is paid
+@query("o36_amounts", o.query([o.PAGES, _TEXT], r"SELECT *, bill_amount AS paid_amount FROM (SELECT claim_id, page_seq, CASE WHEN file_seq = 1 AND document_type IN ('medical_bill', 'invoice') THEN nullif(regexp_extract(text, 'Total Amount[:\s*Rs₹.]*([0-9,]+(?:[.][0-9][0-9])?)', 1), '') END AS bill_amount FROM page_text)"))
 def o36(s: SparkSession, d: str) -> DataFrame:
-    return fields_of(s, d, extract.amounts).select("claim_id", "page_seq", "bill_amount")
+    return fields_of(s, d, extract.amounts).select("claim_id", "page_seq", "bill_amount", "paid_amount")
 
 
 @query("o37_dates")
@@ -162,7 +163,9 @@ def o38(s: SparkSession, d: str) -> DataFrame:
 @query("o39_provenance")
 def o39(s: SparkSession, d: str) -> DataFrame:
     df = fields_of(s, d, extract.with_fields)
-    return df.select("claim_id", "page_seq", "document_title", F.size("field_provenance").alias("n_fields"), F.col("field_provenance")["policy_number"]["evidence"].alias("number_evidence"))
+    proof = F.col("field_provenance")
+    shown = [F.nullif(proof[f]["evidence"], F.lit("")).alias(f"{f}_evidence") for f in extract.PROVEN]
+    return df.select("claim_id", "page_seq", "document_title", F.size(proof).alias("n_fields"), *shown)
 
 
 @query("o40_guard_fields", o.query([o.PAGES], f"SELECT claim_id, page_seq, CASE WHEN {o.CLAIM} THEN patient_name END AS patient_name, CASE WHEN {o.CLAIM} THEN hospital_name END AS hospital_name, CASE WHEN {o.CLAIM} THEN bill_amount END AS bill_amount FROM pages"))
@@ -668,7 +671,28 @@ def o01(s: SparkSession, d: str) -> DataFrame:
     return ingest.read_bundles(s, d, None).select("source_file", "length", "file_seq")
 
 
-@query("o02_quarantine")
+#: Files of 40 claims made of the pages; even ones start as a PDF does.
+_FILES = """SELECT page_id, 'B' || cast(page_id % 40 as string) AS claim_id, CASE page_id % 7 WHEN 0 THEN 'Policy-' ELSE 'bill-' END || cast(page_id as string) || CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.png' ELSE '.txt' END AS source_file,
+  CASE page_id % 2 WHEN 0 THEN '%PDF-' ELSE '' END || coalesce(html, '') AS body FROM {pages}"""
+_CODE = """CASE WHEN strlen(body) < 100 THEN 'blank_or_unreadable' WHEN strlen(body) > 26214400 THEN 'oversized_document' WHEN page_id % 3 = 2 OR page_id % 3 = 0 AND page_id % 2 <> 0 THEN 'unsupported_format' END AS code"""
+
+
+@query("o01_taken_in", f"""SELECT claim_id, source_file, strlen(body) AS length, digest, {_CODE}, row_number() OVER (PARTITION BY claim_id ORDER BY page_id % 7 <> 0, source_file) AS file_seq
+  FROM (SELECT *, sha256(body) AS digest FROM ({_FILES.format(pages='pages')})) QUALIFY row_number() OVER (PARTITION BY claim_id, digest ORDER BY page_id % 2, source_file) = 1""")
+def o01_stream(s: SparkSession, d: str) -> DataFrame:
+    """Bundles laid out from the pages in two deliveries, the second with copies of what the first brought."""
+    path = new_path(s, "intake")
+    store = ClaimStore(s, f"{path}/store")
+    files = s.sql(_FILES, pages=s.read.parquet(f"{d}/pages.parquet")).select("page_id", F.col("claim_id").alias("folder"), F.col("source_file").alias("name"), F.encode("body", "UTF-8").alias("content"))
+    even = F.col("page_id") % 2 == 0
+    again = files.filter(even & (F.col("page_id") % 5 == 0)).withColumn("name", F.concat(F.lit("again-"), "name"))
+    for delivery in (files.filter(even), files.filter(~even).unionByName(again)):
+        replay.lay_out_files(delivery, f"{path}/in")
+        ingest.take_in(store, f"{path}/in", f"{path}/state", suffix=None)
+    return ingest.taken_in(store).select("claim_id", "source_file", "length", "digest", "code", "file_seq")
+
+
+@query("o02_quarantine", f"SELECT page_id, {_CODE} FROM ({_FILES.format(pages='pages')})")
 def o02(s: SparkSession, d: str) -> DataFrame:
     pages = s.read.parquet(f"{d}/pages.parquet")
     kind = F.when(F.col("page_id") % 3 == 0, "pdf").when(F.col("page_id") % 3 == 1, "png").otherwise("txt")
