@@ -666,24 +666,32 @@ def o83_split(s: SparkSession, d: str) -> DataFrame:
 
 # --- intake of files and streams
 
-@query("o01_read_bundles")
-def o01(s: SparkSession, d: str) -> DataFrame:
-    return ingest.read_bundles(s, d, None).select("source_file", "length", "file_seq")
-
-
 #: Files of 40 claims made of the pages; even ones start as a PDF does.
 _FILES = """SELECT page_id, 'B' || cast(page_id % 40 as string) AS claim_id, CASE page_id % 7 WHEN 0 THEN 'Policy-' ELSE 'bill-' END || cast(page_id as string) || CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.png' ELSE '.txt' END AS source_file,
   CASE page_id % 2 WHEN 0 THEN '%PDF-' ELSE '' END || coalesce(html, '') AS body FROM {pages}"""
 _CODE = """CASE WHEN strlen(body) < 100 THEN 'blank_or_unreadable' WHEN strlen(body) > 26214400 THEN 'oversized_document' WHEN page_id % 3 = 2 OR page_id % 3 = 0 AND page_id % 2 <> 0 THEN 'unsupported_format' END AS code"""
 
 
+def _laid_out(s: SparkSession, d: str) -> DataFrame:
+    files = s.sql(_FILES, pages=s.read.parquet(f"{d}/pages.parquet"))
+    return files.select("page_id", F.col("claim_id").alias("folder"), F.col("source_file").alias("name"), F.encode("body", "UTF-8").alias("content"))
+
+
+@query("o01_read_bundles", f"SELECT claim_id, source_file, strlen(body) AS length, row_number() OVER (PARTITION BY claim_id ORDER BY page_id % 7 <> 0, source_file) AS file_seq FROM ({_FILES.format(pages='pages')}) WHERE page_id % 3 = 0")
+def o01(s: SparkSession, d: str) -> DataFrame:
+    """Bundles laid out from the pages; only PDF files count."""
+    path = new_path(s, "bundles")
+    replay.lay_out_files(_laid_out(s, d), path)
+    return ingest.read_bundles(s, path).select("claim_id", "source_file", "length", "file_seq")
+
+
 @query("o01_taken_in", f"""SELECT claim_id, source_file, strlen(body) AS length, digest, {_CODE}, row_number() OVER (PARTITION BY claim_id ORDER BY page_id % 7 <> 0, source_file) AS file_seq
   FROM (SELECT *, sha256(body) AS digest FROM ({_FILES.format(pages='pages')})) QUALIFY row_number() OVER (PARTITION BY claim_id, digest ORDER BY page_id % 2, source_file) = 1""")
 def o01_stream(s: SparkSession, d: str) -> DataFrame:
     """Bundles laid out from the pages in two deliveries, the second with copies of what the first brought."""
     path = new_path(s, "intake")
     store = ClaimStore(s, f"{path}/store")
-    files = s.sql(_FILES, pages=s.read.parquet(f"{d}/pages.parquet")).select("page_id", F.col("claim_id").alias("folder"), F.col("source_file").alias("name"), F.encode("body", "UTF-8").alias("content"))
+    files = _laid_out(s, d)
     even = F.col("page_id") % 2 == 0
     again = files.filter(even & (F.col("page_id") % 5 == 0)).withColumn("name", F.concat(F.lit("again-"), "name"))
     for delivery in (files.filter(even), files.filter(~even).unionByName(again)):
