@@ -59,13 +59,22 @@ def submissions(pages: DataFrame) -> DataFrame:
     return own.select("claim_id", "page_seq", "page_number", "document_type", F.coalesce(text("document_title"), derived).alias("document_title"))
 
 
-def meets(requirement: Column, need: Column, submission: Column, held: Column) -> Column:
-    """Whether a submitted title meets a requirement: both in lower case, and their words."""
-    shared = F.size(F.array_intersect(need, held))
-    out = submission.contains(requirement) | requirement.contains(submission)
-    for left, right in lexicon.EVIDENCE_CATEGORIES:
-        out = out | (F.arrays_overlap(need, F.array(*map(F.lit, left))) & contains_any(submission, right))
-    return out | (shared >= 2) | ((F.size(need) == 1) & (shared == 1))
+def _categories(holds: list[Column]) -> Column:
+    """The categories that hold, one bit each."""
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(holds):
+        out = out.bitwiseOR(F.when(c, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
+    return out
+
+
+def requirement_categories(need: Column) -> Column:
+    """Evidence categories that a requirement's words ask for."""
+    return _categories([F.arrays_overlap(need, F.array(*map(F.lit, left))) for left, _ in lexicon.EVIDENCE_CATEGORIES])
+
+
+def submission_categories(title: Column) -> Column:
+    """Evidence categories that a submitted title, in lower case, belongs to."""
+    return _categories([contains_any(title, right) for _, right in lexicon.EVIDENCE_CATEGORIES])
 
 
 def match_evidence(requirements: DataFrame, submitted: DataFrame) -> DataFrame:
@@ -75,10 +84,12 @@ def match_evidence(requirements: DataFrame, submitted: DataFrame) -> DataFrame:
     """
     r = requirements.select("claim_id", "sr_no", F.col("document_title").alias("requirement"))
     s = submitted.select("claim_id", "page_seq", "page_number", F.trim(F.coalesce("document_title", F.lit(""))).alias("submission"))
-    # words are taken before titles meet, once for each title
-    asked = r.select("claim_id", "sr_no", F.lower("requirement").alias("r"), requirement_words(F.lower("requirement")).alias("need"))
-    given = s.withColumn("s", F.lower("submission")).withColumn("held", F.array_distinct(words(F.col("s"))))
-    hit = asked.join(given, "claim_id").filter(meets(F.col("r"), F.col("need"), F.col("s"), F.col("held")))
+    # words and categories are taken before titles meet, once for each title
+    asked = r.select("claim_id", "sr_no", F.lower("requirement").alias("r"), requirement_words(F.lower("requirement")).alias("need")).withColumn("asks", requirement_categories(F.col("need")))
+    given = s.withColumn("s", F.lower("submission")).withColumn("held", F.array_distinct(words(F.col("s")))).withColumn("gives", submission_categories(F.col("s")))
+    shared = F.size(F.array_intersect("need", "held"))
+    meets = (F.col("asks").bitwiseAND(F.col("gives")) != 0) | F.col("s").contains(F.col("r")) | F.col("r").contains(F.col("s")) | (shared >= 2) | ((F.size("need") == 1) & (shared == 1))
+    hit = asked.join(given, "claim_id").filter(meets)
     first = hit.groupBy("claim_id", "sr_no").agg(F.min_by(F.struct("page_number", "submission"), "page_seq").alias("hit"))
     out = r.join(first, ["claim_id", "sr_no"], "left")
     ok = F.coalesce((F.col("hit.submission") != "") & F.col("hit.page_number").isNotNull(), F.lit(False))
