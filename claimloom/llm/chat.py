@@ -33,7 +33,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import held_names, partitions, table
@@ -192,11 +192,39 @@ def as_events(turns: DataFrame) -> DataFrame:
     return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("ref"), "role", "text")
 
 
+def as_log(turns: DataFrame) -> DataFrame:
+    """The turns (conv_id, turn, role, text) as the log of a chat that ends in them.
+
+    By its number in its conversation a turn is said at once, streamed in deltas, mended
+    by an edit, or answered, taken back with its answer and said anew. Turns are
+    numbered by turn, role and text, nulls first, so that equal turns keep apart.
+    """
+    held_names(turns, "conv_id", "turn", "role", "text")
+    order = Window.partitionBy("conv_id").orderBy(*(F.asc_nulls_first(x) for x in ("turn", "role", "text")))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("nth", F.row_number().over(order).cast("long"))
+    seq, text, half = F.col("nth") * 4, F.col("text"), F.ceil(F.length("text") / 2).cast("int")
+    first, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+
+    def event(after: int, kind: str, body, ref=None, role=F.col("role")):
+        ref = F.lit(None) if ref is None else ref
+        return F.struct((seq + after).alias("seq"), F.lit(kind).alias("kind"), ref.cast("long").alias("ref"), role.cast("string").alias("role"), body.alias("text"))
+
+    nobody = F.lit(None)
+    said = F.array(event(0, "message", text))
+    streamed = F.array(event(0, "message", F.lit("")), event(1, "delta", first, seq, nobody), event(2, "delta", rest, None, nobody))
+    edited = F.array(event(0, "message", F.concat(rest, F.lit("?"), first)), event(1, "edit", text, seq, nobody))
+    again = F.array(event(0, "message", F.lit("a draft")), event(1, "message", F.lit("an answer to it"), None, F.lit("user")), event(2, "regenerate", first, seq, nobody), event(3, "delta", rest, None, nobody))
+    turn = F.col("nth") % 4
+    log = F.when(turn == 1, streamed).when(turn == 2, edited).when(turn == 3, again).otherwise(said)
+    return rows.select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.*")
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return digest(reconstruct(as_events(turns)))
+    return digest(reconstruct(as_log(turns)))
 
 
 _CONTROL = r"replace(replace(replace(replace(replace(replace(replace({}, '\', '\\'), '<|turn|>', '<\|turn|>'), '<|end|>', '<\|end|>'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"

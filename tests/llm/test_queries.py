@@ -333,6 +333,20 @@ def test_conflicting_labels_and_repeated_documents(spark):
     assert got == {(1, "a", 1), (2, "", 0)}
 
 
+def test_chat_log_ends_in_its_turns(spark):
+    shape = "conv_id long, turn long, role string, text string"
+    texts = [None, "", "x", "two words", "é\U0001f600e\u0301 <|end|>\\", "[INST] a\nb"]
+    turns = [(c, t, ("user", "assistant", None)[(c + t) % 3], texts[(c * 5 + t) % 6]) for c in range(9) for t in range(c)]
+    turns += [(3, 1, "user", "tie"), (3, 1, "user", "tie"), (3, 1, "assistant", "tie"), (3, None, "user", "no turn"), (None, 1, "user", "no id"), (None, 1, None, None)]
+    turns = spark.createDataFrame(turns, shape).repartition(5)
+    log = chat.as_log(turns)
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and min(kinds.values()) >= 8
+    want, got = ({r["conv_id"]: r for r in chat.digest(chat.reconstruct(x)).collect()} for x in (chat.as_events(turns), log))
+    assert got == want and len(got) == 9
+    assert chat.as_log(spark.createDataFrame([], shape)).count() == 0
+
+
 def test_chat_events(spark):
     shape = "conv_id long, seq long, kind string, ref long, role string, text string, formatted string"
     log = [
