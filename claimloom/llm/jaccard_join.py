@@ -13,8 +13,8 @@ order, rare ones first. Two sets can only reach the threshold if their prefixes
    leader, and within a group against its first member. Linked ones are one class
    from then on.
 4. What is still open are pairs of one list in different classes. They are paired
-   as groups of a class, filtered, expanded and verified likewise; long lists are
-   dealt to several tasks. So every link between different texts that joins two
+   as groups of a class by bands of size within reach of each other (`_meetings`),
+   expanded and verified likewise; long bands are dealt to several tasks. So every link between different texts that joins two
    classes is found, and a list of n near copies costs n verifications.
 
 The order comes from counts of all shingles of all documents, hashed to SLOTS
@@ -51,8 +51,8 @@ SLOTS = 1 << SLOT_BITS
 PART = 1 << 14
 #: Lists beyond about so many groups are dealt to several tasks.
 LIST = 1 << 16
-#: Bits of the sieve of wanted documents.
-SIEVE = 1 << 25
+#: The sieve of wanted documents has about 8 bits for each, and these at least and at most.
+SIEVE, SIEVE_MOST = 1 << 25, 1 << 28
 #: Entries of a list that meet in one task while pairs are formed.
 SALT = 1 << 12
 #: Postings that a task looks at at a time.
@@ -186,17 +186,18 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = order[(n[back.ravel()] > 1) | np.asarray(rows["split"])[order]]
         yield from rows.select(["shingle", "group", "n", "at"]).take(pa.array(np.sort(keep))).combine_chunks().to_batches(100_000)
 
-    wait, size = [], 0
+    wait, size, enough = [], 0, BUNCH
     for batch in batches:
         wait.append(batch)
         size += batch.num_rows
-        if size >= BUNCH:  # whole deals only
+        if size >= enough:  # whole deals only
             rows = pa.Table.from_batches(wait)
             deal = np.asarray(rows["deal"])
             cut = int(np.searchsorted(deal, deal[-1]))
             yield from some(rows.slice(0, cut))
             rows = rows.slice(cut).combine_chunks()
             wait, size = rows.to_batches(), rows.num_rows
+            enough = max(BUNCH, 2 * size)  # a deal longer than that is copied a few times only
     if wait:
         yield from some(pa.Table.from_batches(wait))
 
@@ -207,6 +208,44 @@ def _may_link(x: str, y: str):
     return (100 + PERCENT) * left >= PERCENT * (F.col(f"{x}_n") + F.col(f"{y}_n"))
 
 
+def _band(n):
+    """The size band of a set: each holds sizes up to a twentieth apart."""
+    return F.floor(F.log(n.cast("double")) * 20).cast("int")
+
+
+def _meetings(ranked: DataFrame, put) -> DataFrame:
+    """Entries (group, root, n, at) of one shingle that sizes and positions let link: u is the smaller, v in another class or not.
+
+    By the filters an entry reaches sets of up to 2.25 (n - at) - n shingles. Of two
+    sets the smaller, u, has to reach the larger, so only entries that reach their own
+    size ask, each the size bands from its own to its reach; entries of its own kind and
+    others answer in the one band of their size, if they reach u. Where a shingle is late
+    in all prefixes, as frequent ones are, nobody asks and a list of any length costs
+    nothing more. A band of over SALT answers is dealt to several tasks. Of the lowest
+    class in a list no two entries meet.
+    """
+    n, at = F.col("n"), F.col("at")
+    reach = F.floor(((100 + PERCENT) * (n - at) - PERCENT * n) / PERCENT).cast("int")
+    mixed = ranked.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    entries = put(ranked.withColumn("reach", reach).join(mixed.select("shingle", "low"), "shingle"), "open-lists", 10_000)
+    asks = F.explode(F.sequence(_band(n), _band(F.col("reach"))))
+    asking = entries.filter("reach >= n").withColumn("band", asks)
+    # what some entry asks for, and the smallest that asks
+    asked = asking.groupBy("shingle", "band").agg(F.min("n").alias("least"))
+    answers = entries.withColumn("band", _band(n)).join(asked, ["shingle", "band"]).filter("reach >= least")
+    answers = put(answers.drop("least"), "answers", 10_000)
+    deals = answers.groupBy("shingle", "band").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
+    deals = put(deals, "deals", 10_000)
+    salt = F.pmod(F.xxhash64("group", "root"), F.col("parts")).cast("int")
+    v = answers.join(deals, ["shingle", "band"]).withColumn("salt", salt)
+    u = asking.join(deals, ["shingle", "band"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = lambda df, x: df.select("shingle", "band", "salt", *(F.col(c).alias(f"{x}_{c}") for c in ("group", "root", "n", "at", "reach")), (F.col("root") == F.col("low")).alias(f"{x}_low"))
+    # two joins, so that no pair of the lowest class is formed: others ask all, the lowest class asks others
+    met = side(u.filter("root <> low"), "u").join(side(v, "v"), ["shingle", "band", "salt"])
+    met = met.union(side(u.filter("root = low"), "u").join(side(v.filter("root <> low"), "v"), ["shingle", "band", "salt"]))
+    return met.filter("v_n >= u_n AND v_n <= u_reach AND u_n <= v_reach")
+
+
 def _named(df: DataFrame, x: str, *columns: str) -> DataFrame:
     return df.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in columns))
 
@@ -215,17 +254,17 @@ def _digest(s: np.ndarray, k: int) -> int:
     return int(mix64(s ^ np.uint64(k)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def _sieve(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash of a doc_id: SIEVE bits, whatever the input."""
+def _sieve(ids: DataFrame, size: int) -> np.ndarray:
+    """A bit for each hash of a doc_id, size bits in all."""
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(1 << 16, dtype=bool)
         bits[pdf["bit"].to_numpy()] = True
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
 
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(size))
     found = ids.select(F.floor(at / (1 << 16)).cast("int").alias("part"), (at % (1 << 16)).cast("int").alias("bit")).distinct()
-    out = np.zeros(SIEVE // 8, dtype=np.uint8)
+    out = np.zeros(size // 8, dtype=np.uint8)
     for r in stored(found.groupBy("part").applyInPandas(fill, "part int, bits binary"), "sieve").collect():
         out[r["part"] << 13 : (r["part"] + 1) << 13] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out
@@ -249,10 +288,12 @@ class _Scratch:
 def _sets(docs: DataFrame, wanted: DataFrame, scratch: _Scratch) -> DataFrame:
     """node, set (its sorted hashes) of the wanted (doc_id, node), stored.
 
-    Texts that a sieve of fixed size shows to be unwanted aren't shuffled; the
-    join drops the rest.
+    Texts that a sieve shows to be unwanted aren't shuffled; the join drops the
+    rest. The sieve grows with the wanted documents up to SIEVE_MOST bits (32 MB):
+    with far more of them it passes all texts, and the join alone decides.
     """
-    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted))  # SIEVE bits
+    size = min(max(SIEVE, 1 << (8 * wanted.count()).bit_length()), SIEVE_MOST)
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted, size))  # SIEVE_MOST bits at most
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
@@ -268,7 +309,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, scratch: _Scratch) -> DataFrame:
             rows = [(k, s.tobytes()) for k, s in zip(batch["node"].to_pylist(), own, strict=True) if _digest(s, ONE) == k]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], names=["node", "set"])
 
-    known = docs.filter("doc_id IS NOT NULL").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("bit"), "text")
+    known = docs.filter("doc_id IS NOT NULL").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("bit"), "text")
     texts = known.mapInArrow(pack, "doc_id long, packed binary").join(wanted, "doc_id")
     # stored in between: no stage then keeps two Python workers for a task
     texts = scratch.put(texts, "wanted-texts")
@@ -338,16 +379,9 @@ def _classed(docs: DataFrame) -> DataFrame:
     own = heads.filter("k > 1").select(F.xxhash64("group").alias("shingle"), "group", "n", F.lit(0).alias("at"))
     ranked = put(lists.union(own).join(classed.select("group", "root").distinct(), "group"), "classed-lists")
     drop(lists, heads)
-    first = ranked.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).filter("low <> high")
-    mixed = put(first.select("shingle", F.col("low").alias("l_root"), F.ceil(F.col("k") / SALT).cast("int").alias("parts")), "mixed")
-    lists = ranked.join(mixed, "shingle")
-    salt = F.pmod(F.xxhash64("group", "root"), F.col("parts")).cast("int")
-    every = _named(lists.withColumn("salt", salt), "v", "salt", "group", "n", "at", "root").withColumnRenamed("v_salt", "salt")
-    other = lists.filter(F.col("root") != F.col("l_root")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    other = _named(other, "u", "salt", "group", "n", "at", "root").withColumnRenamed("u_salt", "salt")
-    opened = other.join(every, ["shingle", "salt"]).filter("u_root <> v_root").filter(_may_link("u", "v"))
+    opened = _meetings(ranked, put).filter("u_root <> v_root").filter(_may_link("u", "v"))
     opened = put(opened.select("u_group", "u_root", "v_group", "v_root").distinct(), "open-groups")
-    drop(ranked, mixed)
+    drop(ranked)
     side = lambda x: classed.select(F.col("group").alias(f"{x}_group"), F.col("root").alias(f"{x}_root"), F.col("node").alias(x))
     opened = opened.join(side("u"), ["u_group", "u_root"]).join(side("v"), ["v_group", "v_root"])
     opened = opened.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()

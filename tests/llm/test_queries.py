@@ -532,3 +532,25 @@ def test_rules_with_many_shards(spark, patched):
     got = {r["doc_id"]: r["log_perplexity"] for r in rules.measure(frame()).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
     assert spark.sql("SHOW TABLES").count() == tables
+
+
+def test_one_shingle_in_many_different_documents_forms_few_pairs(spark, patched):
+    patched(jaccard_join, SALT=50)
+    rng = random.Random(21)
+    rows = []
+    for k in range(2000):
+        n = rng.choice([rng.randint(1, 12), rng.randint(5, 900), 300])
+        late = n - -(-4 * n // 5)
+        # frequent shingles stand late in a prefix; some documents have it early all the same
+        rows.append((7, k, n, rng.randint(0, late) if k % 20 == 0 else late, rng.choice([1, 1, k])))
+    ranked = spark.createDataFrame(rows, "shingle long, group long, n int, at int, root long").repartition(3)
+    met = jaccard_join._meetings(ranked, lambda df, *_: df)
+    got = {tuple(sorted((r["u_group"], r["v_group"]))) for r in met.filter("u_root <> v_root").filter(jaccard_join._may_link("u", "v")).collect()}
+    want = set()
+    for a in range(2000):
+        for b in range(a):
+            (_, x, n, i, r), (_, y, m, j, s) = rows[a], rows[b]
+            if r != s and 180 * min(n - i, m - j) >= 80 * (n + m):
+                want.add((y, x))
+    assert want and got == want
+    assert met.count() < 2000 * 2000 / 20
