@@ -48,17 +48,8 @@ def without(tokens: Column, noise: Sequence[str]) -> Column:
 
 # --- dates
 
-#: Shapes that exclude each other, and how to read them.
-_SHAPES = (
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
-    (r"^\d{1,2}[.]\d{1,2}[.]\d{4}$", "d.M.yyyy"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{8}$", "yyyyMMdd"),
-)
-
-
+# Digits in a fixed order: year, month, day, with signs or without.
+_YEAR_FIRST, _EIGHT = r"^\d{4}([/-])\d{1,2}\1\d{1,2}$", r"^\d{8}$"
 _MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
@@ -75,23 +66,34 @@ def parse_claim_date(x: str | Column) -> Column:
     The text's shape is tested first and parsed once. Impossible dates and other
     texts give null; a two-digit year in parts stays a year below 100.
     """
-    raw = F.regexp_replace(F.trim(col(x)), "^['\"]+|['\"]+$", "")
-    parts = F.split(raw, r"[-/\s,.]+")
-    one, two, three = (F.get(parts, F.lit(k)) for k in range(3))
-    number = lambda p: F.when(p.rlike(r"^\d{1,4}$"), p.cast("int"))
-    make = lambda y, m, d: F.to_date(F.try_make_timestamp(y, m, d, F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")))
-    n1, n2, n3 = number(one), number(two), number(three)
-    # year, month and day of the parts, whichever comes where
-    m1, m2 = _month(one), _month(two)
-    numeric = m1.isNull() & m2.isNull()
-    year = F.when(numeric & (n1 > 1900), n1).otherwise(n3)
+    bare = F.regexp_replace(F.trim(col(x)), "^['\"]+|['\"]+$", "")
+    return let(F.nullif(bare, F.lit("")), lambda raw: let(_date_parts(raw), _date_of))
+
+
+def _date_parts(raw: Column) -> Column:
+    """The first three parts as numbers, the months that the first two name, and whether the year is known to come first."""
+
+    def split_up(parts: Column) -> Column:
+        one, two, three = (F.get(parts, F.lit(k)) for k in range(3))
+        number = lambda p: F.when(p.rlike(r"^\d{1,4}$"), p.cast("int"))
+        return F.struct(number(one).alias("n1"), number(two).alias("n2"), number(three).alias("n3"), _month(one).alias("m1"), _month(two).alias("m2"), raw.rlike(_YEAR_FIRST).alias("year_first"))
+
+    digits = [F.substring(raw, a, n).cast("int") for a, n in ((1, 4), (5, 2), (7, 2))]
+    none = F.lit(None).cast("int")
+    whole = F.struct(*(d.alias(f"n{k}") for k, d in enumerate(digits, 1)), none.alias("m1"), none.alias("m2"), F.lit(True).alias("year_first"))
+    return F.when(raw.rlike(_EIGHT), whole).otherwise(let(F.split(raw, r"[-/\s,.]+"), split_up))
+
+
+def _date_of(t: Column) -> Column:
+    n1, n2, n3, m1, m2 = (t[k] for k in ("n1", "n2", "n3", "m1", "m2"))
+    front = t["year_first"] | (m1.isNull() & m2.isNull() & (n1 > 1900))
+    year = F.when(front, n1).otherwise(n3)
     month = F.coalesce(m2, m1, n2)
-    date = F.when(m2.isNull() & m1.isNotNull(), n2).when(numeric & (n1 > 1900), n3).otherwise(n1)
-    loose = make(year, month, date)
-    out = loose
-    for shape, form in reversed(_SHAPES):
-        out = F.when(raw.rlike(shape), F.to_date(F.try_to_timestamp(raw, F.lit(form)))).otherwise(out)
-    return F.when(raw != "", out)
+    day = F.when(m2.isNull() & m1.isNotNull(), n2).when(front, n3).otherwise(n1)
+    # what no month has isn't tried: a failed try costs far more than a test
+    can = month.between(1, 12) & day.between(1, 31) & (year > 0)
+    zero = F.lit(0)
+    return F.when(can, F.to_date(F.try_make_timestamp(year, month, day, zero, zero, zero.cast("decimal(8,6)"))))
 
 
 def claim_date_text(d: Column) -> Column:

@@ -43,3 +43,16 @@ def test_loose_values(spark):
     assert column(spark, ["yes", "0", "maybe", None], s.loose_bool) == [True, False, None, None]
     assert column(spark, ["3", "0", "-1", "x", None], s.loose_page_number) == [3, None, None, None, None]
     assert column(spark, ['say ```json\n{"a": 1}\n``` ok', 'x {"a": {"b": 2}} y', "[1]", "none"], s.first_json_object) == ['{"a": 1}', '{"a": {"b": 2}}', '{"document_results":[1]}', None]
+
+
+def test_dates_of_every_form_and_none(spark):
+    import datetime as dt
+
+    forms = {
+        "5/3/2024": (2024, 3, 5), "05-03-2024": (2024, 3, 5), "5.3.2024": (2024, 3, 5), "2024-3-5": (2024, 3, 5), "1850/03/05": (1850, 3, 5), "20240305": (2024, 3, 5),
+        "5 Mar 2024": (2024, 3, 5), "5-march-2024": (2024, 3, 5), "MAR 5, 2024": (2024, 3, 5), "'5/3/2024'": (2024, 3, 5), " 2024, 3, 5 ": (2024, 3, 5), "5/3/99": (99, 3, 5),
+        "29/02/2024": (2024, 2, 29), "29/02/2023": None, "31-04-2024": None, "2024-13-01": None, "20240230": None, "5/3/0000": None, "00000305": None, "": None, "''": None, "5 March": None, "soon": None,
+    }
+    df = spark.createDataFrame([(k,) for k in [*forms, None]], "x string")
+    got = {r["x"]: r["d"] for r in df.select("x", scalars.parse_claim_date("x").alias("d")).collect()}
+    assert got == {k: v and dt.date(*v) for k, v in forms.items()} | {None: None}
