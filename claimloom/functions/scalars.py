@@ -63,7 +63,7 @@ def _month(name: Column) -> Column:
 def parse_claim_date(x: str | Column) -> Column:
     """A date in one of twelve usual forms, or parts in a readable order.
 
-    The text's shape is tested first and parsed once. Impossible dates and other
+    Shape and parts are worked out once. Impossible dates and other
     texts give null; a two-digit year in parts stays a year below 100.
     """
     bare = F.regexp_replace(F.trim(col(x)), "^['\"]+|['\"]+$", "")
