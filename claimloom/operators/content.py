@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.lexicon import BANNERS
+from claimloom.functions.lexicon import BANNER_MARKS, BANNERS
 from claimloom.functions.scalars import contains_any, found
 
 # Signal patterns by family, over lower-case text.
@@ -126,7 +126,10 @@ def accept_policy(classified: DataFrame) -> DataFrame:
 
 def classify_pages(pages: DataFrame) -> DataFrame:
     """Adds page_type from text, banner and file name, an ordered CASE; unknown without text."""
-    low, name = F.lower(F.coalesce("text", F.lit(""))), F.lower(F.coalesce("source_file", F.lit("")))
+    low, name, x = F.col("_low"), F.col("_name"), F.col("text")
+    # columns of their own, so that each is worked out once
+    out = pages.withColumns({"_low": F.lower(F.coalesce("text", F.lit(""))), "_name": F.lower(F.coalesce("source_file", F.lit("")))})
+    out = out.withColumns({f"_banner{k}": found(F.when(low.contains(m), x), rf"(?im)^\s*{b}\s*([^\n\r]+)") for k, (b, m) in enumerate(zip(BANNERS, BANNER_MARKS, strict=True))})
     has = lambda *p: contains_any(low, p)
     # The phrases of each type.
     policy = (
@@ -135,7 +138,7 @@ def classify_pages(pages: DataFrame) -> DataFrame:
         | (has("health plan", "sum insured", "proposer details", "coverage details", "elevate") & has("policy period", "waiting period", "exclusion", "benefit", "premium", "valid from") & ~has("tax invoice", "ipd no", "bill amount", "discharge summary", "chief complaints", "investigation charges"))
         | (name.contains("policy") & ~has("tax invoice", "discharge summary", "chief complaints", "investigation charges", "lab report"))
     )
-    document, section, _ = (found(F.col("text"), rf"(?im)^\s*{b}\s*([^\n\r]+)") for b in BANNERS)
+    document, section = F.col("_banner0"), F.col("_banner1")
     title = F.lower(document)
     of_banner = (
         F.when(contains_any(title, ("diagnostic", "pathology", "scan report", "ultrasound", "radiology", "laboratory")), "medical_report")
@@ -152,4 +155,4 @@ def classify_pages(pages: DataFrame) -> DataFrame:
         .when(has("hospital", "discharge summary", "discharge card", "clinical summary", "indoor admission", "ward rounds", "consulting surgeon", "operation notes"), "hospital_document")
         .otherwise("other")
     )
-    return pages.withColumn("page_type", kind)
+    return out.withColumn("page_type", kind).drop("_low", "_name", *(f"_banner{k}" for k in range(len(BANNERS))))
