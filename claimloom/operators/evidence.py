@@ -38,14 +38,16 @@ def extract_requirements(pages: DataFrame, keywords: Sequence[str] = lexicon.REQ
     array = lambda c: F.coalesce(F.col(c), none) if c in pages.columns else none
     section = F.when(text("policy_relevant_text").isNotNull(), F.array("policy_relevant_text")).otherwise(none) if "policy_relevant_text" in pages.columns else none
     lines = F.flatten(F.transform(F.concat(array("relevant_conditions"), array("policy_clauses"), section), lambda c: F.split(c, r"[\n\r;]+")))
-    rows = F.concat(F.transform(lines, lambda x: F.struct(F.lit(0).alias("kind"), x.alias("raw"))), F.transform(array("policy_clauses"), lambda x: F.struct(F.lit(1).alias("kind"), x.alias("raw"))))
+    read = lambda kind, reason, title: F.struct(F.lit(kind).alias("kind"), reason.alias("reason"), title.alias("document_title"))
+    rows = F.concat(F.transform(lines, lambda x: read(0, requirement_line(x), requirement_title(x))), F.transform(array("policy_clauses"), lambda x: read(1, x, clause_title(x))))
+    # worked out before lines become rows: a filter on rows would work each out again for every phrase
+    rows = F.transform(rows, lambda x: F.struct(x["kind"].alias("kind"), x["reason"].alias("reason"), x["document_title"].alias("document_title"), F.lower(x["reason"]).alias("low"), F.lower(x["document_title"]).alias("low_title")))
     own = pages.filter(F.col("document_type") == "insurance_policy").select("claim_id", "page_seq", F.posexplode(rows).alias("at", "row"))
-    as_line, kind, raw = F.col("row.kind") == 0, F.col("row.kind"), F.col("row.raw")
-    own = own.select("claim_id", "page_seq", "at", kind.alias("kind"), F.when(as_line, requirement_line(raw)).otherwise(raw).alias("reason"), F.when(as_line, requirement_title(raw)).otherwise(clause_title(raw)).alias("document_title"))
-    low = F.lower("reason")
-    keep = (F.length("reason") >= 4) & contains_any(low, keywords) & ~contains_any(low, excluded) & ~contains_any(F.lower("document_title"), lexicon.TITLE_EXCLUDED)
+    own = own.select("claim_id", "page_seq", "at", "row.*")
+    low, title = F.col("low"), F.col("low_title")
+    keep = (F.length("reason") >= 4) & contains_any(low, keywords) & ~contains_any(low, excluded) & ~contains_any(title, lexicon.TITLE_EXCLUDED)
     order = ["page_seq", "at"]
-    same = Window.partitionBy("claim_id", "kind", F.lower("document_title")).orderBy(*order)
+    same = Window.partitionBy("claim_id", "kind", "low_title").orderBy(*order)
     own = own.filter(((F.col("kind") == 0) & keep) | ((F.col("kind") == 1) & (F.col("document_title") != "")))
     own = own.withColumn("nth", F.row_number().over(same)).filter("nth = 1")
     own = own.withColumn("first_kind", F.min("kind").over(Window.partitionBy("claim_id"))).filter("kind = first_kind")
@@ -78,20 +80,20 @@ def submission_categories(title: Column) -> Column:
 
 
 def match_evidence(requirements: DataFrame, submitted: DataFrame) -> DataFrame:
-    """Each requirement with the first submission that meets it, if any.
+    """Each requirement with the first submission that meets it, if any. A claim has one requirement a number.
 
     An empty title is part of any text: it stops the walk and meets nothing.
     """
     r = requirements.select("claim_id", "sr_no", F.col("document_title").alias("requirement"))
     s = submitted.select("claim_id", "page_seq", "page_number", F.trim(F.coalesce("document_title", F.lit(""))).alias("submission"))
     # words and categories are taken before titles meet, once for each title
-    asked = r.select("claim_id", "sr_no", F.lower("requirement").alias("r"), requirement_words(F.lower("requirement")).alias("need")).withColumn("asks", requirement_categories(F.col("need")))
+    asked = r.withColumns({"r": F.lower("requirement"), "need": requirement_words(F.lower("requirement"))}).withColumn("asks", requirement_categories(F.col("need")))
     given = s.withColumn("s", F.lower("submission")).withColumn("held", F.array_distinct(words(F.col("s")))).withColumn("gives", submission_categories(F.col("s")))
     shared = F.size(F.array_intersect("need", "held"))
     meets = (F.col("asks").bitwiseAND(F.col("gives")) != 0) | F.col("s").contains(F.col("r")) | F.col("r").contains(F.col("s")) | (shared >= 2) | ((F.size("need") == 1) & (shared == 1))
-    hit = asked.join(given, "claim_id").filter(meets)
-    first = hit.groupBy("claim_id", "sr_no").agg(F.min_by(F.struct("page_number", "submission"), "page_seq").alias("hit"))
-    out = r.join(first, ["claim_id", "sr_no"], "left")
+    # one join keeps the requirements that nothing meets; all of it goes by claim
+    both = asked.join(given.withColumnRenamed("claim_id", "s_claim"), (F.col("claim_id") == F.col("s_claim")) & meets, "left")
+    out = both.groupBy("claim_id", "sr_no", "requirement").agg(F.min_by(F.struct("page_number", "submission"), "page_seq").alias("hit"))
     ok = F.coalesce((F.col("hit.submission") != "") & F.col("hit.page_number").isNotNull(), F.lit(False))
     return out.select("claim_id", "sr_no", F.col("requirement").alias("document_title"), (~ok).alias("missing"), F.when(ok, F.col("hit.page_number")).alias("page_number"), F.when(ok, F.col("hit.submission")).alias("matched_title"))
 
@@ -137,20 +139,20 @@ def validate_responses(responses: DataFrame, pages: DataFrame) -> DataFrame:
     """
     parsed = F.from_json(first_json_object("response_json"), f"document_results array<{_ITEM}>, missing_documents array<{_ITEM}>")
     rows = responses.select("claim_id", let(parsed, lambda p: F.coalesce(p["document_results"], p["missing_documents"])).alias("items"))
-    bad = rows.filter("items IS NULL").select("claim_id", F.lit(0).alias("sr_no"), F.lit(None).cast("string").alias("document_title"), F.lit(None).cast("boolean").alias("missing"), F.lit(None).cast("int").alias("page_number"), F.lit("no result list").alias("problem"))
-    items = rows.select("claim_id", F.posexplode("items").alias("k", "i"))
+    # one pass: a response without a list goes on as one row without an item
+    items = rows.withColumn("none", F.col("items").isNull()).select("claim_id", "none", F.posexplode_outer("items").alias("k", "i")).filter("none OR k IS NOT NULL")
     raw_page = F.coalesce("i.page_number", "i.page_no")
-    items = items.select("claim_id", (F.col("k") + 1).alias("sr_no"), F.col("i.document_title").alias("document_title"), loose_bool("i.missing").alias("missing"), loose_page_number(raw_page).alias("page_number"), (raw_page.isNotNull() & ~raw_page.isin("", "null")).alias("given"))
+    items = items.select("claim_id", "none", F.when(F.col("none"), 0).otherwise(F.col("k") + 1).alias("sr_no"), F.col("i.document_title").alias("document_title"), loose_bool("i.missing").alias("missing"), loose_page_number(raw_page).alias("page_number"), (raw_page.isNotNull() & ~raw_page.isin("", "null")).alias("given"))
     own = pages.select("claim_id", "page_number").distinct().withColumn("known", F.lit(True))
     items = items.join(own, ["claim_id", "page_number"], "left")
     problem = (
-        F.when(text("document_title").isNull(), "no title")
+        F.when(F.col("none"), "no result list").when(text("document_title").isNull(), "no title")
         .when(F.col("missing").isNull(), "missing is no boolean")
         .when(F.col("missing") & F.col("given"), "missing with a page")
         .when(~F.col("missing") & F.col("page_number").isNull(), "present without a page")
         .when(~F.col("missing") & F.col("known").isNull(), "page not submitted")
     )
-    return items.select("claim_id", "sr_no", "document_title", "missing", "page_number", problem.alias("problem")).unionByName(bad)
+    return items.select("claim_id", "sr_no", "document_title", "missing", "page_number", problem.alias("problem"))
 
 
 def split_responses(validated: DataFrame, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from claimloom.functions.scalars import found, lowered, opened_at
-from claimloom.operators import extract
+from claimloom.operators import evidence, extract
 
 
 def test_texts_opened_at_a_label_give_what_whole_texts_give(spark):
@@ -29,3 +29,20 @@ def test_texts_opened_at_a_label_give_what_whole_texts_give(spark):
 
 def test_each_brand_holds_its_mark():
     assert all(any(m in re.sub(r"\\s\+", " ", b).lower() for m in marks) for b, marks in zip(extract.BRANDS, extract.BRAND_MARKS, strict=True))
+
+
+def _reads(df) -> int:
+    return len(re.findall(r"Scan ExistingRDD|LocalTableScan", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_evidence_reads_requirements_and_responses_once(spark):
+    need = spark.sparkContext.parallelize([("C1", 1, "Final hospital bill"), ("C1", 2, "Police FIR"), (None, 1, "Police FIR")]).toDF("claim_id string, sr_no int, document_title string")
+    held = spark.sparkContext.parallelize([("C1", 2, 1, "Hospital Bill"), ("C2", 1, 1, "Police FIR"), (None, 1, 1, "Police FIR")]).toDF("claim_id string, page_seq int, page_number int, document_title string")
+    got = evidence.match_evidence(need, held)
+    assert _reads(got) == 2
+    assert {tuple(r) for r in got.collect()} == {("C1", 1, "Final hospital bill", False, 1, "Hospital Bill"), ("C1", 2, "Police FIR", True, None, None), (None, 1, "Police FIR", True, None, None)}
+    answers = [("C1", '{"document_results": []}'), ("C2", "none"), ("C3", None), ("C4", '[{"document_title": "a", "missing": "true"}]')]
+    answers = spark.sparkContext.parallelize(answers).toDF("claim_id string, response_json string")
+    got = evidence.validate_responses(answers, held)
+    assert _reads(got) == 2
+    assert {(r["claim_id"], r["sr_no"], r["document_title"], r["problem"]) for r in got.collect()} == {("C2", 0, None, "no result list"), ("C3", 0, None, "no result list"), ("C4", 1, "a", None)}
