@@ -104,3 +104,14 @@ def test_sink_stores_a_batch_once(spark, store):
     count(frame(spark, [("C1", 9, "now")]), 1)
     count(frame(spark, [("C1", 1, "old again")]), 0)
     assert rows(store, "counts") == [("C0", 0, "old"), ("C1", 9, "now"), ("C2", 0, "old")]
+
+
+def test_many_appends_leave_few_folders(spark, tmp_path):
+    store = ClaimStore(spark, f"{tmp_path}/store", 2)
+    for n in range(11):
+        store.append("log", spark.createDataFrame([("A", n), ("A", max(n - 1, 0)), ("B", n)], "claim_id string, id int"), ["claim_id", "id"], writer="w", batch=n)
+    assert max(map(len, store.manifest()["tables"]["log"]["folders"].values())) <= 8
+    assert sorted(map(tuple, store.read("log").collect())) == [(c, n) for c in "AB" for n in range(11)]
+    before = store.manifest()
+    store.append("log", spark.createDataFrame([("A", 99)], "claim_id string, id int"), ["claim_id", "id"], writer="w", batch=10)
+    assert store.manifest() == before
