@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from claimloom.functions.scalars import found, lowered, opened_at
-from claimloom.operators import evidence, extract
+from claimloom.operators import evidence, extract, search
 from claimloom.sources import fixtures
 
 
@@ -62,3 +62,12 @@ def test_pages_by_claim_are_those_of_the_sql_and_meet_once(spark, tmp_path):
     counted = got.groupBy("claim_id").agg(F.max("page_seq"), F.max("bill_amount"))
     # by hash of a claim: lines once, orders beside the pages and for the join; pages and claims never
     assert len(re.findall(r"Exchange hashpartitioning\((?!of_id|id)", counted._jdf.queryExecution().executedPlan().toString())) == 0
+
+
+def test_field_view_deals_fields_by_claim_alone(spark):
+    fields = spark.createDataFrame([("A", "bill", "1"), ("A", "date", "2"), (None, "bill", "3")], "claim_id string, field_name string, field_value string").repartition(4, "claim_id")
+    facts = spark.createDataFrame([("A", "x", "y"), ("B", "x", None), ("C", "z", "w"), (None, "x", None)], "claim_id string, bill string, day string")
+    got = search.field_view(fields, facts)
+    assert "field_name" not in "".join(re.findall(r"Exchange hashpartitioning\([^)]*\)", got._jdf.queryExecution().executedPlan().toString()))
+    new = {("A", "day", "y"), ("B", "bill", "x"), ("C", "bill", "z"), ("C", "day", "w"), (None, "bill", "x")}
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in fields.collect()} | new
