@@ -5,9 +5,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from claimloom.functions.scalars import found, lowered, opened_at
-from claimloom.operators import evidence, extract, search
-from claimloom.plans import more
+from claimloom.functions.scalars import _PLAUSIBLE, _plausible_parts, found, lowered, opened_at, plausible_date
+from claimloom.operators import consistency, evidence, extract, search
+from claimloom.plans import core, more
 from claimloom.sources import fixtures
 
 
@@ -77,3 +77,27 @@ def test_field_view_deals_fields_by_claim_alone(spark):
 def test_question_context_works_on_claims_asked_about(spark):
     plan = more.o54(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_names_of_facilities_are_cut_into_words_once(spark):
+    rows = [("C1", 1, 1, "medical_bill", "Lakeside City Hospital", "P-1"), ("C1", 2, 2, "medical_bill", "Discharge Summary", " - "), ("C1", 3, 3, "medical_bill", None, None)]
+    pages = spark.createDataFrame(rows, "claim_id string, page_seq int, page_number int, document_type string, hospital_name string, policy_number string")
+    got = consistency.facility_names(pages)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2 and plan.count("lower(") == 2  # words, and the number of words
+    assert [tuple(r) for r in got.collect()] == [("C1", "Lakeside City Hospital", 1, ["lakeside"])]
+    assert consistency.policy_number_mismatch(pages)._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 3  # one side is read twice
+
+
+def test_plausible_shapes_are_plausible_by_their_parts(spark):
+    draw = random.Random(5)
+    parts = ["1", "01", "31", "32", "0", "1899", "1900", "2024", "2100", "2101", "20240", "Jan", "JANUARY", "dec", "Decx", "xJan", "5,", "5.", "é"]
+    texts = ["".join(p + draw.choice(("-", "/", " ", ".", ", ", " - ", "")) for p in draw.choices(parts, k=draw.randint(1, 4))).rstrip("-/., ") for _ in range(5000)] + ["", "  ", "31/02/2025", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumns({"got": plausible_date("t"), "want": _plausible_parts(F.col("t"))})
+    assert df.filter("NOT (got <=> want)").collect() == []
+    assert df.filter(F.trim("t").rlike(_PLAUSIBLE)).count() > 20 and df.filter("NOT got").count() > 100
+
+
+def test_verdict_writes_what_its_checks_read(spark):
+    plan = core.o70(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "doctor_name" not in plan and "diagnosis" not in plan and "hospital_name" in plan
