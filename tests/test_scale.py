@@ -3,10 +3,12 @@
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from claimloom.functions.scalars import _PLAUSIBLE, _plausible_parts, found, lowered, opened_at, plausible_date
-from claimloom.operators import consistency, evidence, extract, search
+from claimloom.operators import consistency, content, evidence, extract, search
 from claimloom.plans import core, more
 from claimloom.sources import fixtures
 
@@ -101,3 +103,18 @@ def test_plausible_shapes_are_plausible_by_their_parts(spark):
 def test_verdict_writes_what_its_checks_read(spark):
     plan = core.o70(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "doctor_name" not in plan and "diagnosis" not in plan and "hospital_name" in plan
+
+
+def test_patterns_looked_for_together_are_those_found_alone(monkeypatch):
+    families = [[p for p, _ in of] for of in content.FAMILIES.values()]
+    draw = random.Random(3)
+    words = ["policy", "schedule", "no", "number", "12/A", "\n", " ", ":", "room", "rent", "total", "premium", "lab", "specimen", "resume", "fir", "x", "é", "discharge", "summary", "hospital", "ipd", "co-payment", "deductible"]
+    texts = pa.array([None, "", *("".join(w + draw.choice(("", " ", "\n", ".")) for w in draw.choices(words, k=8)) for _ in range(600)), *["nothing here"] * 1000], pa.string())
+    looked, plain = [], pc.match_substring_regex
+    monkeypatch.setattr(pc, "match_substring_regex", lambda x, p: looked.append(len(x)) or plain(x, p))
+    got = content.pattern_bits(families)(texts)
+    assert sum(looked) < 0.6 * len(texts) * sum(map(len, families))
+    for of, bits in zip(families, got, strict=True):
+        for k, p in enumerate(of):
+            assert [bool(b >> k & 1) for b in bits.tolist()] == [bool(x) for x in plain(texts, p).to_pylist()]
+    assert [x.tolist() for x in content.pattern_bits(families)(texts[:0])] == [[]] * len(families) and content.pattern_bits([])(texts) == []
