@@ -143,7 +143,7 @@ def prefixes(docs: DataFrame, ranks) -> DataFrame:
 
 
 def _postings(ranks):
-    """Rows of (list, part, shingle, group, n, at) for each shingle of a prefix."""
+    """Rows of _DEALT for each shingle of a prefix: postings of one shingle and part are dealt to one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -160,19 +160,21 @@ def _postings(ranks):
             at = np.arange(len(shingle)) - np.repeat(np.cumsum(length) - length, length)
             rank = ranks.value[_slots(shingle)]
             parts = np.where(rank > hot, 2.0 ** ((rank - hot) / 4.0) + 1, 1).astype(np.uint64)
-            part = mix64(group.view(np.uint64)) % parts
+            part = np.where(parts > 1, mix64(group.view(np.uint64)) % parts + np.uint64(1), 0)  # 0: not split
             for a in range(0, len(shingle), 200_000):
                 cut = slice(a, a + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(mix64(shingle[cut] + part[cut]))), pa.array(parts[cut] > 1), pa.array(signed(shingle[cut])), pa.array(group[cut]), pa.array(n[cut]), pa.array(at[cut].astype(np.int32))], names=["deal", "split", "shingle", "group", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(shingle[cut])), pa.array(group[cut]), pa.array(part[cut].astype(np.int32)), pa.array(n[cut]), pa.array(at[cut].astype(np.int32))], names=["shingle", "group", "part", "n", "at"])
 
     return run
 
 
 _POSTING = "shingle long, group long, n int, at int"
+#: What is shuffled: no more than a posting and its part, as hashes don't compress.
+_DEALT = "shingle long, group long, part int, n int, at int"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by deal, those whose shingle another group holds too."""
+    """Of postings sorted by shingle and part, those whose shingle another group holds too."""
 
     def some(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         if not rows.num_rows:
@@ -183,21 +185,22 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = np.r_[True, (s[1:] != s[:-1]) | (g[1:] != g[:-1])]
         order, s = order[fresh], s[fresh]
         _, back, n = np.unique(s, return_inverse=True, return_counts=True)
-        keep = order[(n[back.ravel()] > 1) | np.asarray(rows["split"])[order]]
+        keep = order[(n[back.ravel()] > 1) | (np.asarray(rows["part"])[order] > 0)]
         yield from rows.select(["shingle", "group", "n", "at"]).take(pa.array(np.sort(keep))).combine_chunks().to_batches(100_000)
 
     wait, size, enough = [], 0, BUNCH
     for batch in batches:
         wait.append(batch)
         size += batch.num_rows
-        if size >= enough:  # whole deals only
+        if size >= enough:  # whole parts only
             rows = pa.Table.from_batches(wait)
-            deal = np.asarray(rows["deal"])
-            cut = int(np.searchsorted(deal, deal[-1]))
+            shingle, part = np.asarray(rows["shingle"]), np.asarray(rows["part"])
+            first = int(np.searchsorted(shingle, shingle[-1]))
+            cut = first + int(np.searchsorted(part[first:], part[-1]))
             yield from some(rows.slice(0, cut))
             rows = rows.slice(cut).combine_chunks()
             wait, size = rows.to_batches(), rows.num_rows
-            enough = max(BUNCH, 2 * size)  # a deal longer than that is copied a few times only
+            enough = max(BUNCH, 2 * size)  # a part longer than that is copied a few times only
     if wait:
         yield from some(pa.Table.from_batches(wait))
 
@@ -349,8 +352,8 @@ def _classed(docs: DataFrame) -> DataFrame:
     # members: one document for each different set
     members = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("group", "n", F.col("one").alias("node"), "two").agg(F.min("doc_id").alias("doc_id"))
     members = put(members, "members")
-    dealt = rows.filter("prefix IS NOT NULL").select("group", "n", "prefix").mapInArrow(_postings(ranks), f"deal long, split boolean, {_POSTING}")
-    lists = put(dealt.repartition(partitions(spark), "deal").sortWithinPartitions("deal").mapInArrow(_shared, _POSTING), "lists", 10_000)
+    dealt = rows.filter("prefix IS NOT NULL").select("group", "n", "prefix").mapInArrow(_postings(ranks), _DEALT)
+    lists = put(dealt.repartition(partitions(spark), "shingle", "part").sortWithinPartitions("shingle", "part").mapInArrow(_shared, _POSTING), "lists", 10_000)
 
     # pairs of groups: each group of a list with the list's leader
     heads = put(members.groupBy("group").agg(F.min("node").alias("head"), F.first("n").alias("n"), F.count("*").alias("k")), "heads")

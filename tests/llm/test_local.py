@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -206,3 +207,29 @@ def test_long_texts_are_hashed_like_short_ones(monkeypatch):
     monkeypatch.setattr(common, "PIECE", 100)
     assert (common.word_hashes(text) == whole).all()
     assert (next(iter(common.doc_word_hashes([text]))) == whole).all()
+
+
+def test_postings_are_shuffled_as_one_hash_of_a_shingle_and_one_of_a_group(monkeypatch):
+    import types
+
+    from claimloom.llm import jaccard_join as j
+
+    monkeypatch.setattr(j, "BUNCH", 50)
+    draw = np.random.default_rng(4)
+    rank = np.zeros(j.SLOTS, dtype=np.uint8)
+    pool = draw.integers(0, 2**63, 60, dtype=np.uint64)
+    often = pool[:5]
+    rank[j._slots(often)] = int(4 * np.log2(j.LIST)) + 8  # dealt to 5 parts
+    prefixes = [np.unique(draw.choice(pool, 6)) for _ in range(80)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80), pa.int64()), pa.array([9] * 80, pa.int32()), pa.array([p.tobytes() for p in prefixes])], names=["group", "n", "prefix"])
+    rows = pa.Table.from_batches(j._postings(types.SimpleNamespace(value=rank))(iter([batch, batch])))
+    assert sum(f.type.bit_width for f in rows.schema) <= 8 * (8 + 8 + 4 + 4 + 4)
+    parts = set(zip(rows["shingle"].to_pylist(), rows["part"].to_pylist(), strict=True))
+    assert all((p > 0) == (np.uint64(s) in often) for s, p in parts) and len({p for _, p in parts}) > 3
+    dealt = rows.sort_by([("shingle", "ascending"), ("part", "ascending")]).to_batches(17)
+    got = [tuple(r.values()) for b in j._shared(iter(dealt)) for r in b.to_pylist()]
+    held = {}
+    for g, p in enumerate(prefixes):
+        for at, s in enumerate(p.tolist()):
+            held.setdefault(s, []).append((s, g, 9, at))
+    assert sorted(got) == sorted(x for s, xs in held.items() if len(xs) > 1 or np.uint64(s) in often for x in xs)
