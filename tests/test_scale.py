@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from claimloom.functions.scalars import _PLAUSIBLE, _plausible_parts, found, lowered, opened_at, plausible_date
+from claimloom.functions.scalars import _PLAUSIBLE, _plausible_parts, found, lowered, opened_at, parse_claim_date, plausible_date, with_claim_dates
 from claimloom.operators import consistency, content, evidence, extract, search
 from claimloom.plans import core, more
 from claimloom.sources import fixtures
@@ -118,3 +118,27 @@ def test_patterns_looked_for_together_are_those_found_alone(monkeypatch):
         for k, p in enumerate(of):
             assert [bool(b >> k & 1) for b in bits.tolist()] == [bool(x) for x in plain(texts, p).to_pylist()]
     assert [x.tolist() for x in content.pattern_bits(families)(texts[:0])] == [[]] * len(families) and content.pattern_bits([])(texts) == []
+
+
+def test_dates_in_columns_are_those_parsed_alone(spark):
+    draw = random.Random(9)
+    parts = ["1", "01", "29", "31", "32", "0", "02", "4", "12", "13", "1900", "1901", "2024", "2023", "0000", "20240", "Feb", "JANUARY", "dec", "Decx", "5,", "é", "'"]
+    texts = ["".join(p + draw.choice(("-", "/", " ", ".", ", ", " - ", "", "\n")) for p in draw.choices(parts, k=draw.randint(1, 4))) for _ in range(4000)]
+    texts += ["20240229", "20230229", "2023-02-29", "29/02/2024", "31/02/2025", "-1/2/2024", "'1/2/2024'", "1--2/2024", "1/2/2024 10:00", "1/2", "", " ", None]
+    df = with_claim_dates(spark.createDataFrame([(t,) for t in texts], "t string"), {"a": "t", "b": F.upper("t")})
+    assert df.columns == ["t", "a", "b"]
+    assert df.filter(~F.col("a").eqNullSafe(parse_claim_date("t")) | ~F.col("b").eqNullSafe(F.col("a"))).collect() == []
+    assert df.filter("a IS NOT NULL").count() > 100
+
+
+def test_file_names_are_read_for_pages_without_a_number(spark):
+    plan = more.o39(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count(extract.NUMBER_IN_FILE[0]) < 20  # 39 where each part is looked for in each field that holds it
+
+
+def test_labels_far_ahead_of_their_date_are_evidence(spark):
+    texts = ["x Bill" + " " * 12 + "Date: 1/2/2024", "x Admission Date: 1/2/2024", "Bill Date none\nRecord Date 1-Jan-2024", "Policy" + "\n" * 20 + "Start Date: 1/2/2024 Policy End Date 3/4/2025"]
+    got = extract.dates(spark.createDataFrame([(k, t, "invoice") for k, t in enumerate(texts)], "k int, text string, page_type string")).orderBy("k").collect()
+    assert [r["document_date_evidence"] for r in got[:3]] == [texts[0][2:], texts[1][2:], "Record Date 1-Jan-2024"]
+    assert [r["document_date"] for r in got[:3]] == ["01/02/2024", "01/02/2024", "01/01/2024"]
+    assert got[3]["policy_start_date_evidence"] == texts[3][: len("Policy") + 20 + len("Start Date: 1/2/2024")] and got[3]["policy_end_date_evidence"] == "Policy End Date 3/4/2025"
